@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import tokenize
+from ledgerloom.llm import pieces, tokenize
 from ledgerloom.session import table
 
 
+def _long_texts(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    """The pieces of filing_section and filing_chunk."""
+    tables = {"filing_section": "section_id", "filing_chunk": "chunk_id"}
+    both = [table(spark, d, t).select(F.lit(t).alias("table_name"), F.col(k).alias("item_id"), "text") for t, k in tables.items()]
+    return pieces.cut(both[0].unionByName(both[1]), ["table_name", "item_id"], with_text=with_text)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """An item is above the limit exactly if it has a second piece."""
+    return _long_texts(spark, d, with_text=False).where("piece_no = 2").select("table_name", "item_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _long_texts(spark, d, with_text=True)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
