@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.operators import badrows
+from ledgerloom.session import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.rejected(table(spark, d, "raw_record")).select("record_id", "reason")
+
+
+def p4_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.schedule_rows(table(spark, d, "raw_record"))
+
+
+def p4_issues(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.issue_rows(table(spark, d, "raw_record"))
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_schedule, p4_issues)}
 
 
 def oracle_sql() -> dict[str, str]:
