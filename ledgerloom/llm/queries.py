@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import pieces, tokenize
+from ledgerloom.llm import mix, pieces, tokenize
 from ledgerloom.session import table
 
 
@@ -31,8 +31,24 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mix.unreachable(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """The shares actually reached, counted from the rows of the mix."""
+    rows, planned = mix.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    got = rows.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("mixed_docs"), (F.max("copy_no") + 1).alias("most_repeats"))
+    out = planned.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_repeats"])
+    return out.withColumn("mixed_share", F.round(F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy()), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p6_ids)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_found, p7_mix, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
