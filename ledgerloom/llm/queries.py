@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mix, pieces, tokenize
+from ledgerloom.llm import canonical, mix, pieces, tokenize
 from ledgerloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.free_entries(table(spark, d, "investment"), table(spark, d, "canonical_value")).select("inv_id", "field_name", "value_id")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that mean none of the list, with the number of rows that have them."""
+    rows = canonical.free_entries(table(spark, d, "investment"), table(spark, d, "canonical_value")).where("value_id = 0")
+    return rows.groupBy("field_name", "value").agg(F.count("*").alias("n_rows"))
+
+
 def _long_texts(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     """The pieces of filing_section and filing_chunk."""
     tables = {"filing_section": "section_id", "filing_chunk": "chunk_id"}
@@ -48,7 +58,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p6_ids, p7_found, p7_mix, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
