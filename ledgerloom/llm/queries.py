@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import canonical, mix, pieces, tokenize
+from ledgerloom.llm import canonical, mix, pieces, tokenize, variants
 from ledgerloom.session import table
 
 
@@ -37,6 +37,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _long_texts(spark, d, with_text=True)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs_of(variants.organisations(table(spark, d, "borrower_name")))
+
+
+def p5_organisations(spark: SparkSession, d: str) -> DataFrame:
+    return variants.organisations(table(spark, d, "borrower_name"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -58,7 +66,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p6_ids, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p5_found, p5_organisations, p6_ids, p7_found, p7_mix, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
