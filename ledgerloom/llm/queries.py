@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import canonical, mix, pieces, tokenize, variants
+from ledgerloom.llm import canonical, mainbody, mix, pieces, tokenize, variants
 from ledgerloom.session import table
 
 
@@ -21,6 +21,14 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("field_name", "value").agg(F.count("*").alias("n_rows"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_lines(table(spark, d, "website_page"))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_text(table(spark, d, "website_page"))
+
+
 def _long_texts(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     """The pieces of filing_section and filing_chunk."""
     tables = {"filing_section": "section_id", "filing_chunk": "chunk_id"}
@@ -66,7 +74,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p5_found, p5_organisations, p6_ids, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p3_found, p3_pieces, p5_found, p5_organisations, p6_ids, p7_found, p7_mix, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
