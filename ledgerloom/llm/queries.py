@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import canonical, mainbody, mix, pieces, tokenize, variants
+from ledgerloom.llm import canonical, mainbody, mix, pieces, sentences, tokenize, variants
 from ledgerloom.session import table
 
 
@@ -73,8 +73,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("mixed_share", F.round(F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy()), 6))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p3_found, p3_pieces, p5_found, p5_organisations, p6_ids, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_text, p3_found, p3_pieces, p5_found, p5_organisations, p6_ids, p7_found, p7_mix, p7_report, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
