@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import badrows
+from ledgerloom.plans import schedule_queries
 from ledgerloom.session import table
 
 
+PARTS = [schedule_queries.ALL]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected(table(spark, d, "raw_record")).select("record_id", "reason")
 
@@ -23,12 +27,13 @@ def p4_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    return schedule_queries.rank_topn(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_schedule, p4_issues)}
+    own = {f.__name__: f for f in (p4_found, p4_schedule, p4_issues)}
+    return own | {name: f for part in PARTS for name, (f, _) in part.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.items() if sql}
