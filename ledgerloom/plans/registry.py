@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import badrows
-from ledgerloom.plans import schedule_queries
+from ledgerloom.plans import relational_queries, schedule_queries, text_queries
 from ledgerloom.session import table
 
 
-PARTS = [schedule_queries.ALL]
+PARTS = [schedule_queries.ALL, text_queries.ALL, relational_queries.ALL]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
