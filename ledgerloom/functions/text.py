@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from ledgerloom.functions.names import trim_all
 SPACES = r"(?U)\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use names it. Expressions inside lambdas are not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """The runs of characters between white space; no word for a null or blank text (FN-16)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
@@ -21,9 +28,12 @@ def word_count(text: Column) -> Column:
 
 def prose_fraction(text: Column) -> Column:
     """The share of words that are letters only and at most 20 of them; 0 without words (AGG-14)."""
-    w = words(text)
-    good = F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+$") & (F.length(x) <= 20)))
-    return F.when(F.size(w) > 0, good / F.size(w)).otherwise(F.lit(0.0))
+
+    def share(w: Column) -> Column:
+        good = F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+$") & (F.length(x) <= 20)))
+        return F.when(F.size(w) > 0, good / F.size(w)).otherwise(F.lit(0.0))
+
+    return let(words(text), share)
 
 
 def is_noise(text: Column, least: float = 0.55) -> Column:

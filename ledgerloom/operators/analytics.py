@@ -55,7 +55,7 @@ def concentration(totals: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The share in percent of the n largest in each group's fair value; null where that is 0 (AGG-10)."""
     by_rank = ranked(totals, keys)
     sums = by_rank.groupBy(*keys).agg(F.sum("total_fair_value").alias("total"), F.sum(F.when(F.col("rank") <= n, F.col("total_fair_value")).otherwise(0.0)).alias("top_total"), F.count("*").alias("companies"))
-    return sums.withColumn("top_share_pct", F.when(F.col("total") != 0, F.round(F.col("top_total") / F.col("total") * 100, 4)))
+    return sums.withColumn("top_share_pct", F.when(F.col("total") != 0, F.col("top_total") / F.col("total") * 100))
 
 
 def breakdown(rows: DataFrame, column: str, order: str = "row_no") -> DataFrame:

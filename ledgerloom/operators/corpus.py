@@ -10,11 +10,10 @@ from ledgerloom.functions.names import trim_all
 
 
 def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no from 0, line, start): each line and where it starts (WIN-04), by running lengths within the row."""
-    split = F.split(text, "\n", -1)
-    lengths = F.transform(split, lambda x: F.length(x) + 1)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    return docs.where(F.col(text).isNotNull()).select(doc, F.posexplode(F.arrays_zip(split.alias("line"), F.slice(starts, F.lit(1), F.size(split)).alias("start")))).select(doc, F.col("pos").alias("line_no"), "col.line", "col.start")
+    """(doc, line_no from 0, line, start): each line and where it starts (WIN-04), by a running sum within the document."""
+    each = docs.where(F.col(text).isNotNull()).select(doc, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    before = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
 
 
 def sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,29 +35,38 @@ def sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
 
 def paragraph_structs(text: Column, breaks: str = r"\n\s*\n") -> Column:
     """ARRAY<STRUCT<offset INT, para STRING>>: what lies between breaks, trimmed, without blanks (TXT-03)."""
-    parts = F.split(text, breaks, -1)
-    gaps = F.regexp_extract_all(text, F.lit(f"({breaks})"), F.lit(1))
-    sizes = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0)))
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    both = F.transform(parts, lambda p, i: F.struct(F.get(starts, i).alias("offset"), trim_all(p).alias("para")))
-    return F.filter(both, lambda x: x["para"] != "")
+
+    def placed(parts: Column) -> Column:
+        gaps = F.regexp_extract_all(text, F.lit(f"({breaks})"), F.lit(1))
+        sizes = F.zip_with(parts, gaps, lambda p, g: F.coalesce(F.length(p), F.lit(0)) + F.coalesce(F.length(g), F.lit(0)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        both = F.zip_with(parts, starts, lambda p, at: F.struct(at.alias("offset"), trim_all(p).alias("para")))
+        return F.filter(both, lambda x: x["para"] != "")
+
+    return T.let(F.split(text, breaks, -1), placed)
 
 
 def windows(paras: Column, limit: int = 512) -> Column:
     """Paragraphs of more than limit words as windows of limit words, the offset at the window's first word (TXT-04)."""
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<offset:int,para:string>>").alias("out"))
 
-    def explode(x: Column) -> Column:
-        w = T.words(x["para"])
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(limit)), lambda i: F.slice(w, i + 1, F.lit(limit)))
-        empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<offset:int,para:string>>").alias("out"))
+    def step(x: Column):
+        def with_run(acc: Column, run: Column) -> Column:
+            def at_found(found: Column) -> Column:
+                at = F.greatest(found, acc["at"])
+                piece = F.array_join(run, " ")
+                return F.struct((at + F.length(piece)).cast("int").alias("at"), F.array_append(acc["out"], F.struct((x["offset"] + at - 1).cast("int").alias("offset"), piece.alias("para"))).alias("out"))
+
+            return T.let(F.call_function("locate", F.element_at(run, 1), x["para"], acc["at"]), at_found)
 
-        def step(acc: Column, run: Column) -> Column:
-            found = F.call_function("locate", F.element_at(run, 1), x["para"], acc["at"])
-            at = F.when(found > 0, found).otherwise(acc["at"])
-            piece = F.array_join(run, " ")
-            return F.struct((at + F.length(piece)).cast("int").alias("at"), F.array_append(acc["out"], F.struct((x["offset"] + at - 1).cast("int").alias("offset"), piece.alias("para"))).alias("out"))
+        return with_run
 
-        return F.when(F.size(w) > limit, F.aggregate(runs, empty, step, lambda acc: acc["out"])).otherwise(F.array(F.struct(x["offset"].cast("int").alias("offset"), x["para"].alias("para"))))
+    def explode(x: Column) -> Column:
+        def cut(w: Column) -> Column:
+            runs = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(limit)), lambda i: F.slice(w, i + 1, F.lit(limit)))
+            return F.when(F.size(w) > limit, F.aggregate(runs, none, step(x), lambda acc: acc["out"])).otherwise(F.array(F.struct(x["offset"].cast("int").alias("offset"), x["para"].alias("para"))))
+
+        return T.let(T.words(x["para"]), cut)
 
     return F.flatten(F.transform(paras, explode))
 
@@ -76,22 +84,21 @@ def fold_chunks(paras: Column, target: int = 512, overlap: int = 64) -> Column:
     counted = F.transform(paras, lambda x: F.struct(x["offset"].cast("int").alias("offset"), x["para"].alias("para"), T.word_count(x["para"]).alias("n")))
     start = F.struct(F.array().cast(PIECES).alias("cur"), F.lit(0).alias("tok"), F.array().cast(CHUNKS).alias("out"))
 
-    def total(ps: Column) -> Column:
-        return F.aggregate(ps, F.lit(0), lambda a, p: a + p["n"])
+    empty = F.struct(F.array().cast(PIECES).alias("t"), F.lit(0).alias("n"))
 
     def tail_of(cur: Column) -> Column:
-        empty = F.struct(F.array().cast(PIECES).alias("t"), F.lit(0).alias("n"))
-        back = F.aggregate(F.reverse(cur), empty, lambda a, p: F.when(a["n"] >= overlap, a).otherwise(F.struct(F.array_prepend(a["t"], p).alias("t"), (a["n"] + p["n"]).alias("n"))))["t"]
-        return F.when(F.size(back) < F.size(cur), back).otherwise(F.array().cast(PIECES))
+        back = F.aggregate(F.reverse(cur), empty, lambda a, p: F.when(a["n"] >= overlap, a).otherwise(F.struct(F.array_prepend(a["t"], p).alias("t"), (a["n"] + p["n"]).alias("n"))))
+        return T.let(back, lambda b: F.when(F.size(b["t"]) < F.size(cur), b).otherwise(empty))
 
     def step(acc: Column, p: Column) -> Column:
-        big = (p["n"] >= target) & (F.size(acc["cur"]) > 0)
-        out = F.when(big, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
-        cur = F.when(big, F.array(p)).otherwise(F.array_append(acc["cur"], p))
-        tok = F.when(big, p["n"]).otherwise(acc["tok"] + p["n"])
-        tail = tail_of(cur)
-        full = tok >= target
-        return F.when(full, F.struct(tail.alias("cur"), total(tail).alias("tok"), F.array_append(out, cur).alias("out"))).otherwise(F.struct(cur.alias("cur"), tok.alias("tok"), out.alias("out")))
+        closes = (p["n"] >= target) & (F.size(acc["cur"]) > 0)
+        opened = F.when(closes, F.struct(F.array(p).alias("cur"), p["n"].alias("tok"), F.array_append(acc["out"], acc["cur"]).alias("out"))).otherwise(F.struct(F.array_append(acc["cur"], p).alias("cur"), (acc["tok"] + p["n"]).alias("tok"), acc["out"].alias("out")))
+
+        def filled(s: Column) -> Column:
+            full = T.let(tail_of(s["cur"]), lambda t: F.struct(t["t"].alias("cur"), t["n"].alias("tok"), F.array_append(s["out"], s["cur"]).alias("out")))
+            return F.when(s["tok"] >= target, full).otherwise(s)
+
+        return T.let(opened, filled)
 
     return F.aggregate(counted, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"]))
 

@@ -26,10 +26,14 @@ def dot(a: Column, b: Column) -> Column:
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of lower-case words by hashed bucket, at unit length: the embedding where there is no model (VEC-01)."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
-    bucket = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+    buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"), F.lit(dimensions)))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
+        return T.let(norm, lambda n: F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(0.0)))
+
+    counted = T.let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
+    return T.let(counted, unit)
 
 
 def index(chunks: DataFrame, text: str = "text", embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:

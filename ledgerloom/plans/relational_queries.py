@@ -10,19 +10,15 @@ from ledgerloom.session import table
 from ledgerloom.streaming import events as E
 
 
-def cents(c):
-    return F.round(c, 2).cast("decimal(18,2)")
-
-
 def join_revenue(spark: SparkSession, d: str) -> DataFrame:
     """Revenue by nation and year: five tables joined."""
     li, o, c, n, r = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
-    revenue = cents(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    revenue = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     out = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return out.groupBy("r_name", "n_name", F.year("o_orderdate").alias("year")).agg(F.sum(revenue).cast("double").alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
-JOIN_REVENUE = """SELECT r_name, n_name, year(o_orderdate)::INTEGER AS year, sum(round(l_extendedprice * (1 - l_discount), 2)::DECIMAL(18,2))::DOUBLE AS revenue, count(DISTINCT o_orderkey) AS orders
+JOIN_REVENUE = """SELECT r_name, n_name, year(o_orderdate)::INTEGER AS year, sum(l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(4,2)))::DOUBLE AS revenue, count(DISTINCT o_orderkey) AS orders
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
 
 
@@ -87,17 +83,17 @@ CUBE_ROLLUP = "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_li
 
 
 def window_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of each customer: running total, moving average, rank and change."""
+    """Orders of each customer: running total, moving sum, rank and change."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     price = F.col("o_totalprice").cast("decimal(18,2)")
     return table(spark, d, "orders").select(
-        "o_orderkey", F.sum(price).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("running"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"),
-        F.row_number().over(w).alias("nth"), F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(w), 2).alias("change"), F.ntile(4).over(w).alias("quarter"),
+        "o_orderkey", F.sum(price).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("running"), F.sum(price).over(w.rowsBetween(-2, 0)).cast("double").alias("moving"),
+        F.row_number().over(w).alias("nth"), (price - F.lag(price).over(w)).cast("double").alias("change"), F.ntile(4).over(w).alias("quarter"),
     )
 
 
-WINDOW_FRAMES = """SELECT o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS running, round(avg(o_totalprice) OVER (w ROWS 2 PRECEDING), 2) AS moving,
-  (row_number() OVER w)::INTEGER AS nth, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS change, (ntile(4) OVER w)::INTEGER AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+WINDOW_FRAMES = """SELECT o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS running, sum(o_totalprice::DECIMAL(18,2)) OVER (w ROWS 2 PRECEDING)::DOUBLE AS moving,
+  (row_number() OVER w)::INTEGER AS nth, (o_totalprice::DECIMAL(18,2) - lag(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE AS change, (ntile(4) OVER w)::INTEGER AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
 
 
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +114,7 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
 
 
 PIVOT = """SELECT o_orderpriority, NULLIF(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS "F", NULLIF(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS "O", NULLIF(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS "P" FROM orders GROUP BY 1"""
@@ -174,7 +170,7 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    return E.drain(E.by_window(stream, "1 day"), f"stream_tumbling_{abs(hash(d))}", "complete").withColumn("total", F.round("total", 2))
+    return E.drain(E.by_window(stream, "1 day"), f"stream_tumbling_{abs(hash(d))}", "complete").withColumn("total", F.round("total", 2)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 STREAM_TUMBLING = TUMBLING.replace("INTERVAL 1 HOUR", "INTERVAL 1 DAY")

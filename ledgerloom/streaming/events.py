@@ -21,7 +21,10 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
-    return events.withWatermark(time, late) if events.isStreaming else events
+    """A stream with a watermark; times without a zone are read in that of the session."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
 def by_window(events: DataFrame, size: str = "1 hour", slide: str | None = None, keys: tuple[str, ...] = ("event_type",), time: str = "ts", late: str = LATE) -> DataFrame:
