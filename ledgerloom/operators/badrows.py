@@ -26,7 +26,7 @@ ISSUE_CODES = [
 NO_VALUE = ["", "-", "--", "—"]
 AMOUNT = r"^(?:-?\$?D|\$-D|\(\$?D\)|\$\(D\))$".replace("D", r"[0-9]+(?:,+[0-9]+)*(?:\.[0-9]+)?")
 DATE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-ROWS = r"^(?:0*[1-9][0-9]*(?:;0*[1-9][0-9]*)*)?$"
+ROWS = r"^(?:0*[1-9][0-9]*(?:;0*[1-9][0-9]*)*)?\z"
 SPACES = r"^[W]+|[W]+$".replace("W", r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 
 AMOUNTS, DATES = ["principal_amount", "cost", "fair_value"], ["investment_date", "maturity_date"]
@@ -78,7 +78,7 @@ def classify(records: DataFrame, raw: str = "raw_text", feed: str = "feed") -> D
     """
     text, kind = F.col(raw), F.col(feed)
     out = records.withColumn("__fields", F.split(_masked(text), ",", -1))
-    broken = F.exists("__fields", lambda f: f.contains('"') | (f.contains("\u0001") & ~f.rlike("^\u0001+$")))
+    broken = F.exists("__fields", lambda f: f.contains('"') | (f.contains("\u0001") & ~f.rlike(r"^\x01+\z")))
     wanted = F.when(kind == "schedule", len(SCHEDULE_COLUMNS)).when(kind == "issue", len(ISSUE_COLUMNS)).otherwise(-1)
     out = out.withColumn("__reason", F.when(text.isNull(), "column_count").when(broken, "broken_quoting").when(F.size("__fields") != wanted, "column_count"))
     out = out.withColumn("row", F.when((kind == "schedule") & F.col("__reason").isNull(), _parsed(text, SCHEDULE_COLUMNS)))
