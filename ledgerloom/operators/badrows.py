@@ -27,13 +27,14 @@ NO_VALUE = ["", "-", "--", "—"]
 AMOUNT = r"^(?:-?\$?D|\$-D|\(\$?D\)|\$\(D\))$".replace("D", r"[0-9]+(?:,+[0-9]+)*(?:\.[0-9]+)?")
 DATE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
 ROWS = r"^(?:0*[1-9][0-9]*(?:;0*[1-9][0-9]*)*)?\z"
-SPACES = r"^[W]+|[W]+$".replace("W", r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+#: Fixed value: Unicode white space, with the separators that trimming takes for white space.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 
 AMOUNTS, DATES = ["principal_amount", "cost", "fair_value"], ["investment_date", "maturity_date"]
 
 
 def trimmed(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, SPACES, ""), F.lit(""))
+    return F.coalesce(F.btrim(c, F.lit(SPACES)), F.lit(""))
 
 
 def amount(c: Column) -> Column:
@@ -54,8 +55,7 @@ def bad_amount(c: Column) -> Column:
 
 
 def bad_date(c: Column) -> Column:
-    t = trimmed(c)
-    return ~(t.isin(NO_VALUE) | date(c).isNotNull())
+    return ~(trimmed(c).isin(NO_VALUE) | date(c).isNotNull())
 
 
 def _masked(raw: Column) -> Column:
