@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import badrows
+from ledgerloom.plans import sql as S
 from ledgerloom.plans import relational_queries, schedule_queries, text_queries
 from ledgerloom.session import table
 
@@ -18,6 +19,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected(table(spark, d, "raw_record")).select("record_id", "reason")
 
 
+_T = S.trim("v")
+_NONE = "('', '-', '--', '—')"
+_VALUES = "list_transform(regexp_extract_all(raw_text, '(?s)(?:^|,)(\"(?:[^\"]|\"\")*\"|[^,]*)', 1), lambda f: CASE WHEN f LIKE '\"%' THEN replace(substr(f, 2, length(f) - 2), '\"\"', '\"') ELSE f END)"
+_BAD_AMOUNTS = f"len(list_filter(v[9:11], lambda v: {_T} NOT IN {_NONE} AND NOT regexp_full_match({_T}, '{badrows.AMOUNT.strip('^$')}'))) > 0"
+_BAD_DATES = f"len(list_filter(v[7:8], lambda v: {_T} NOT IN {_NONE} AND NOT (regexp_full_match({_T}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AND try_strptime({_T}, '%m/%d/%Y') IS NOT NULL))) > 0"
+P4_FOUND = f"""WITH m AS (SELECT record_id, feed, raw_text, string_split(regexp_replace(replace(raw_text, chr(1), ' '), '"[^"]*"', chr(1), 'g'), ',') AS f FROM raw_record),
+  c AS (SELECT *, CASE WHEN raw_text IS NULL THEN 'column_count' WHEN len(list_filter(f, lambda x: contains(x, '"') OR (contains(x, chr(1)) AND replace(x, chr(1), '') <> ''))) > 0 THEN 'broken_quoting'
+    WHEN len(f) <> CASE feed WHEN 'schedule' THEN 17 WHEN 'issue' THEN 4 ELSE -1 END THEN 'column_count' END AS r, {_VALUES} AS v FROM m),
+  w AS (SELECT record_id, coalesce(r, CASE WHEN feed = 'schedule' AND ({_BAD_AMOUNTS} OR {_BAD_DATES}) THEN 'invalid_value'
+    WHEN feed = 'issue' AND (v[1] NOT IN {tuple(badrows.ISSUE_LEVELS)} OR v[2] NOT IN {tuple(badrows.ISSUE_CODES)} OR NOT regexp_full_match(v[4], '(?:0*[1-9][0-9]*(?:;0*[1-9][0-9]*)*)?')) THEN 'invalid_value' END) AS reason FROM c)
+  SELECT record_id, reason FROM w WHERE reason IS NOT NULL"""
+
+
 def p4_schedule(spark: SparkSession, d: str) -> DataFrame:
     return badrows.schedule_rows(table(spark, d, "raw_record"))
 
@@ -36,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in PARTS for name, (_, sql) in part.items() if sql}
+    return {"p4_found": P4_FOUND} | {name: sql for part in PARTS for name, (_, sql) in part.items() if sql}

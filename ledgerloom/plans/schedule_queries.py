@@ -236,7 +236,7 @@ ROW_EXTRACT = f"""WITH c AS (SELECT inv_id, {_KIND} AS kind, list_transform({_sq
     CASE WHEN debt THEN coalesce(a[1], '') ELSE '' END AS principal_amount, CASE WHEN debt THEN coalesce(a[2], '') ELSE coalesce(a[1], '') END AS cost, CASE WHEN debt THEN coalesce(a[3], '') ELSE coalesce(a[2], '') END AS fair_value FROM f"""
 
 
-FIXTURE = """<table><tr><td>Portfolio Company (a)(b)</td><td>Variable Index</td><td>Rate</td></tr><tr><td>Investment Type</td></tr>
+FIXTURE = """<table><tr><td>Portfolio Company (a)(b)</td><td>Variable Index</td><td>Rate</td><td>Principal</td><td>Cost</td><td>Fair Value</td></tr><tr><td>Investment Type</td></tr>
 <tr><td>Control Investments (t)</td></tr><tr><td>Acme Corp</td><td>Manufacturing</td></tr>
 <tr><td>First Lien Debt</td><td>(S+7.75%) / (2.00%)</td><td>11.71%/0.50%</td><td>1/15/2024</td><td>1/15/2029</td><td>$</td><td>1,000</td><td>$</td><td>990</td><td>$</td><td>1,050</td></tr>
 <tr><td>First Lien Debt</td><td>(S+7.50%) / (2.00%)</td><td>11.50%/0.50%</td><td>2/15/2024</td><td>1/15/2029</td><td>$</td><td>500</td><td>$</td><td>495</td><td>$</td><td>520</td></tr>
