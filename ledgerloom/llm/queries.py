@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import canonical, mainbody, mix, pieces, sentences, tokenize, variants
+from ledgerloom.plans import sql as S
 from ledgerloom.session import table
 
 
@@ -82,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    long = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS item_id FROM {t} WHERE len({S.words('text')}) > 512" for t, k in (("filing_section", "section_id"), ("filing_chunk", "chunk_id")))
+    return {"p3_found": long}
