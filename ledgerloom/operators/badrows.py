@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import let
+
 #: The columns of a schedule record and of an issue record, and the values an issue may have.
 SCHEDULE_COLUMNS = [
     "company_name", "industry", "investment_category", "investment_type", "rate_spread_floor", "rate_cash_pik", "investment_date",
@@ -81,14 +83,23 @@ def classify(records: DataFrame, raw: str = "raw_text", feed: str = "feed") -> D
     broken = F.exists("__fields", lambda f: f.contains('"') | (f.contains("\u0001") & ~f.rlike(r"^\x01+\z")))
     wanted = F.when(kind == "schedule", len(SCHEDULE_COLUMNS)).when(kind == "issue", len(ISSUE_COLUMNS)).otherwise(-1)
     out = out.withColumn("__reason", F.when(text.isNull(), "column_count").when(broken, "broken_quoting").when(F.size("__fields") != wanted, "column_count"))
-    out = out.withColumn("row", F.when((kind == "schedule") & F.col("__reason").isNull(), _parsed(text, SCHEDULE_COLUMNS)))
-    out = out.withColumn("issue", F.when((kind == "issue") & F.col("__reason").isNull(), _parsed(text, ISSUE_COLUMNS)))
-    row, issue = (lambda c: F.col("row")[c]), (lambda c: F.coalesce(F.col("issue")[c], F.lit("")))
-    bad_row = reduce(lambda a, b: a | b, [*(bad_amount(row(c)) for c in AMOUNTS), *(bad_date(row(c)) for c in DATES)])
-    bad_issue = ~issue("level").isin(ISSUE_LEVELS) | ~issue("code").isin(ISSUE_CODES) | ~issue("rows").rlike(ROWS)
-    reason = F.coalesce("__reason", F.when(F.col("row").isNotNull() & bad_row, "invalid_value").when(F.col("issue").isNotNull() & bad_issue, "invalid_value"))
-    valid = reason.isNull()
-    return out.withColumn("reason", reason).withColumn("row", F.when(valid, F.col("row").dropFields("_corrupt"))).withColumn("issue", F.when(valid, F.col("issue").dropFields("_corrupt"))).drop("__fields", "__reason")
+    def bad_row(r: Column) -> Column:
+        return reduce(lambda a, b: a | b, [*(bad_amount(r[c]) for c in AMOUNTS), *(bad_date(r[c]) for c in DATES)])
+
+    def bad_issue(r: Column) -> Column:
+        level, code, rows = (F.coalesce(r[c], F.lit("")) for c in ("level", "code", "rows"))
+        return ~level.isin(ISSUE_LEVELS) | ~code.isin(ISSUE_CODES) | ~rows.rlike(ROWS)
+
+    def checked(name: str, columns: list[str], bad) -> Column:
+        """The parsed record and whether a value is bad; the record is parsed once for all its checks."""
+        both = let(_parsed(text, columns), lambda r: F.struct(r.dropFields("_corrupt").alias("values"), bad(r).alias("bad")))
+        return F.when((kind == name) & F.col("__reason").isNull(), both)
+
+    out = out.withColumn("__schedule", checked("schedule", SCHEDULE_COLUMNS, bad_row)).withColumn("__issue", checked("issue", ISSUE_COLUMNS, bad_issue))
+    bad = F.coalesce(F.col("__schedule.bad"), F.col("__issue.bad"), F.lit(False))
+    reason = F.coalesce("__reason", F.when(bad, "invalid_value"))
+    own = {"row": F.when(~bad, F.col("__schedule.values")), "issue": F.when(~bad, F.col("__issue.values")), "reason": reason}
+    return out.withColumns(own).drop("__fields", "__reason", "__schedule", "__issue")
 
 
 def rejected(records: DataFrame, key: str = "record_id", raw: str = "raw_text", feed: str = "feed") -> DataFrame:
