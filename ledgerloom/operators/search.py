@@ -32,7 +32,7 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
         norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
         return T.let(norm, lambda n: F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(0.0)))
 
-    counted = T.let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
+    counted = T.let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(bs) - F.size(F.array_remove(bs, i.cast("bigint")))).cast("double")))
     return T.let(counted, unit)
 
 
