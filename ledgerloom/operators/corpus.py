@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.names import trim_all
+from ledgerloom.session import spread
 
 
 def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def chunks(parts: DataFrame, keys: list[str], text: str = "text", char_start: st
 
     char_start of a section is added to its offsets; its null counts as 0, a null text has no chunk.
     """
-    found = parts.where(F.col(text).isNotNull()).select(*keys, F.coalesce(F.col(char_start), F.lit(0)).alias("__base"), F.posexplode(fold_chunks(windows(paragraph_structs(F.col(text), breaks)))).alias("__no", "__c"))
+    found = spread(parts.where(F.col(text).isNotNull())).select(*keys, F.coalesce(F.col(char_start), F.lit(0)).alias("__base"), F.posexplode(fold_chunks(windows(paragraph_structs(F.col(text), breaks)))).alias("__no", "__c"))
     last = F.element_at("__c", -1)
     out = found.select(
         *keys, (F.col("__no") + 1).alias("chunk_no"), F.array_join(F.transform("__c", lambda x: x["para"]), "\n\n").alias("text"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.session import spread
 
 #: What an answer says without a source, and what a model is told.
 REFUSAL = "I can't answer that from the %s 10-K — retrieval returned no relevant passages. (No grounded source, so I won't guess.)"
@@ -38,7 +39,7 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def index(chunks: DataFrame, text: str = "text", embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """chunks and their vectors (VEC-02, SNK-07); write it where several searches read it."""
-    return chunks.withColumn("vector", embed(F.col(text)))
+    return spread(chunks).withColumn("vector", embed(F.col(text)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "vector", query: str = "query_id", query_vector: str = "query_vector", min_score: float | None = None, most_queries: int = 1000) -> DataFrame:
