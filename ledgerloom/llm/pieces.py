@@ -20,7 +20,7 @@ from ledgerloom.session import spread
 #: Fixed value: Unicode White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[^{SPACE}]+")
-PARAGRAPH = re.compile(f"(?:\r\n|[\n\r \x85])[{SPACE}]*[\n\r \x85]| ")
+PARAGRAPH = re.compile(f"(?:\r\n|\n|\r(?!\n)|[\x85 ])[{SPACE}]*[\n\r\x85 ]| ")
 SENTENCE = re.compile(f"[.!?…。！？।؟۔][\"'”’»›)\\]」』）]*(?=[{SPACE}]+(?:[^a-z{SPACE}]))")
 #: Fixed value: words with a period that seldom end a sentence.
 ABBREVIATIONS = frozenset(
