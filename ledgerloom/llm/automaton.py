@@ -1,7 +1,7 @@
-"""A trie searched with a Levenshtein automaton.
+"""A trie searched with a Levenshtein automaton, on request with swaps of neighbours as one edit.
 
 The automaton of a query is simulated bit-parallel: row j is the set of query positions reached with j edits, one integer, and one
-trie edge moves all rows. A branch of the trie is left as soon as no row has a position.
+trie edge moves all rows; a half swap waits in a row of its own for the letter that completes it. A branch of the trie is left as soon as no row has a position.
 """
 
 from __future__ import annotations
@@ -40,8 +40,11 @@ class Trie:
             node.ends = set()
         node.ends.add(entry)
 
-    def search(self, query: str, most: int) -> dict:
-        """{entry: fewest edits} of all entries with a path within most edits; breaking off costs half an edit."""
+    def search(self, query: str, most: int, swaps: bool = False) -> dict:
+        """{entry: fewest edits} of all entries with a path within most edits; breaking off costs half an edit.
+
+        swaps: two neighbours in turned order are one edit instead of two, if nothing else is edited between them.
+        """
         m = len(query)
         full = (1 << (m + 1)) - 1
         goal = 1 << m
@@ -56,19 +59,26 @@ class Trie:
                     found[e] = cost
 
         start = tuple((1 << (j + 1)) - 1 & full for j in range(most + 1))
-        stack = [(self.root, start)]
+        none = (0,) * (most + 1)
+        stack = [(self.root, start, none)]
         pop, push = stack.pop, stack.append
         while stack:
-            node, rows = pop()
+            node, rows, half = pop()
             for c, child in node.children.items():
                 b = where.get(c, 0)
                 before = rows[0]
                 row = (before & b) << 1
                 new = [row]
-                for old in rows[1:]:
-                    row = ((old & b) << 1 | before | before << 1 | row << 1) & full
-                    new.append(row)
-                    before = old
+                if swaps:
+                    for old, waits in zip(rows[1:], half[1:]):
+                        row = ((old & b) << 1 | (waits & b) << 2 | before | before << 1 | row << 1) & full
+                        new.append(row)
+                        before = old
+                else:
+                    for old in rows[1:]:
+                        row = ((old & b) << 1 | before | before << 1 | row << 1) & full
+                        new.append(row)
+                        before = old
                 if not row:  # the last row holds all others
                     continue
                 if row & goal and (child.ends or child.cut):
@@ -78,7 +88,7 @@ class Trie:
                     if child.cut:
                         note(child.cut, cost + 0.5)
                 if child.children:
-                    push((child, tuple(new)))
+                    push((child, tuple(new), (0, *(r & b >> 1 for r in rows[:-1])) if swaps else none))
         return found
 
     def nearest(self, query: str, most: int) -> dict:
