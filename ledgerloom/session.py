@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +26,23 @@ def local_session(app: str = "ledgerloom", cpus: str | None = None, shuffle: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); only where none is set, one of our own is set for local runs."""
+    """The shared folder of the cluster (spark.checkpoint.dir).
+
+    Only a local master gets a folder of its own where none is set, removed when Python ends; elsewhere a folder of one machine would
+    be lost to the others, so a missing setting raises.
+    """
     have = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if current.isEmpty():
             spark.sparkContext.setCheckpointDir(have)
         return have
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -52,8 +61,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over at least as many tasks as the cluster has cores.
 
     Files smaller than a split come as a few large tasks; a row-by-row Python stage then leaves cores idle. Large inputs already have
-    more splits than cores, so nothing is shuffled there.
+    more splits than cores, so nothing is shuffled there. Splits are only counted where that runs nothing: a plan that shuffles stays
+    as it is.
     """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df if have >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def widely(df: DataFrame, *keys: str) -> DataFrame:
+    """df shuffled into the session's number of shuffle partitions, which adaptive execution leaves as they are: for Python stages behind a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
