@@ -1,7 +1,8 @@
 """Problem 4: records that fail to parse, set apart with one reason each while the valid rows load.
 
-Records are read permissively under an explicit schema with the corrupt raw text kept, then reclassified by quoting, column count
-and casts. Everything is a built-in expression in one pass without a shuffle.
+Records are read permissively under an explicit schema that keeps the raw text of a corrupt one. Corrupt records, and those with a
+quotation mark, are then reclassified by quoting and column count, the others by casts. Everything is a built-in expression in one
+pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ def amount(c: Column) -> Column:
     return F.when(t.isin(NO_VALUE) | ~t.rlike(AMOUNT), None).when(t.rlike(r"[-(]"), -bare).otherwise(bare)
 
 
+def beyond(c: Column) -> Column:
+    """Whether a valid amount has more digits than DECIMAL(38,6) holds."""
+    t = trimmed(c)
+    return ~t.isin(NO_VALUE) & t.rlike(AMOUNT) & amount(c).isNull()
+
+
 def date(c: Column) -> Column:
     t = trimmed(c)
     return F.when(t.rlike(DATE), F.try_to_date(t, "M/d/yyyy"))
@@ -65,41 +72,64 @@ def _masked(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, "\u0001", " "), '"[^"]*"', "\u0001")
 
 
+#: Ends a record for the reader: not a line break, which may stand inside a field; a noncharacter, which no text holds.
+RECORD_END = "\uffff"
+MOST_COLUMNS = 20_480
+
+
 def _parsed(raw: Column, columns: list[str]) -> Column:
+    """The record read permissively: its columns, and its raw text in _corrupt where it does not fit them."""
     schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_corrupt"])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxColumns": "20480", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    return F.from_csv(raw, schema, options)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxColumns": str(MOST_COLUMNS), "lineSep": RECORD_END, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return F.from_csv(F.translate(raw, RECORD_END, "\ufffd"), schema, options)
+
+
+def _bad_row(r: Column) -> Column:
+    return reduce(lambda a, b: a | b, [*(bad_amount(r[c]) for c in AMOUNTS), *(bad_date(r[c]) for c in DATES)])
+
+
+def _bad_issue(r: Column) -> Column:
+    level, code, rows = (F.coalesce(r[c], F.lit("")) for c in ("level", "code", "rows"))
+    return ~level.isin(ISSUE_LEVELS) | ~code.isin(ISSUE_CODES) | ~rows.rlike(ROWS)
 
 
 def classify(records: DataFrame, raw: str = "raw_text", feed: str = "feed") -> DataFrame:
     """records and three columns: row (STRUCT of the schedule's columns, all STRING), issue (STRUCT of an issue's), reason STRING.
 
     reason is null for a valid record, else the first that applies of broken_quoting, column_count and invalid_value. A null record
-    counts as one of no columns. A feed that is neither schedule nor issue, or null, has no column count that fits: column_count.
-    Columns of records stay as they are, whatever their names, but for row, issue and reason.
+    counts as one of no columns. A feed that is neither schedule nor issue, or null, has no column count that fits: column_count. An
+    unquoted field may hold line breaks. Columns of records stay as they are, whatever their names, but for row, issue and reason.
     """
     text, kind = F.col(raw), F.col(feed)
-    out = records.withColumn("__fields", F.split(_masked(text), ",", -1))
-    broken = F.exists("__fields", lambda f: f.contains('"') | (f.contains("\u0001") & ~f.rlike(r"^\x01+\z")))
-    wanted = F.when(kind == "schedule", len(SCHEDULE_COLUMNS)).when(kind == "issue", len(ISSUE_COLUMNS)).otherwise(-1)
-    out = out.withColumn("__reason", F.when(text.isNull(), "column_count").when(broken, "broken_quoting").when(F.size("__fields") != wanted, "column_count"))
-    def bad_row(r: Column) -> Column:
-        return reduce(lambda a, b: a | b, [*(bad_amount(r[c]) for c in AMOUNTS), *(bad_date(r[c]) for c in DATES)])
-
-    def bad_issue(r: Column) -> Column:
-        level, code, rows = (F.coalesce(r[c], F.lit("")) for c in ("level", "code", "rows"))
-        return ~level.isin(ISSUE_LEVELS) | ~code.isin(ISSUE_CODES) | ~rows.rlike(ROWS)
-
-    def checked(name: str, columns: list[str], bad) -> Column:
-        """The parsed record and whether a value is bad; the record is parsed once for all its checks."""
-        both = let(_parsed(text, columns), lambda r: F.struct(r.dropFields("_corrupt").alias("values"), bad(r).alias("bad")))
-        return F.when((kind == name) & F.col("__reason").isNull(), both)
-
-    out = out.withColumn("__schedule", checked("schedule", SCHEDULE_COLUMNS, bad_row)).withColumn("__issue", checked("issue", ISSUE_COLUMNS, bad_issue))
+
+    def broken(fields: Column) -> Column:
+        return F.exists(fields, lambda f: f.contains('"') | (f.contains("\u0001") & ~f.rlike(r"^\x01+\z")))
+
+    # the reader fails on a record of more columns than it holds, even when it is permissive
+    few = let(F.split(_masked(text), ",", -1), lambda f: ~broken(f) & (F.size(f) < MOST_COLUMNS))
+    readable = F.when(F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) < MOST_COLUMNS, True).otherwise(few)
+
+    def read(name: str, columns: list[str], bad) -> Column:
+        """The record as read, its raw text if it is corrupt, and whether a value is bad; it is read once for all of these."""
+        whole = let(_parsed(text, columns), lambda r: F.struct(r.dropFields("_corrupt").alias("values"), r["_corrupt"].alias("corrupt"), bad(r).alias("bad")))
+        return F.when((kind == name) & readable, whole)
+
+    out = records.withColumn("__schedule", read("schedule", SCHEDULE_COLUMNS, _bad_row)).withColumn("__issue", read("issue", ISSUE_COLUMNS, _bad_issue))
+    corrupt = F.coalesce("__schedule.corrupt", "__issue.corrupt")
+    unread = text.isNull() | ~F.coalesce(kind.isin("schedule", "issue"), F.lit(False))
+
+    def why(fields: Column) -> Column:
+        wanted = F.when(kind == "schedule", len(SCHEDULE_COLUMNS)).when(kind == "issue", len(ISSUE_COLUMNS)).otherwise(-1)
+        # what the reader calls corrupt is never loaded, even where count and quoting seem right
+        return F.when(broken(fields), "broken_quoting").when(F.size(fields) != wanted, "column_count").when(corrupt.isNotNull(), "broken_quoting")
+
+    # the reader takes a blank record for one of nulls
+    suspect = unread | ~readable | corrupt.isNotNull() | text.contains('"') | (trimmed(text) == "")
+    out = out.withColumn("__reason", F.when(text.isNull(), "column_count").when(suspect, let(F.split(_masked(text), ",", -1), why)))
     bad = F.coalesce(F.col("__schedule.bad"), F.col("__issue.bad"), F.lit(False))
     reason = F.coalesce("__reason", F.when(bad, "invalid_value"))
-    own = {"row": F.when(~bad, F.col("__schedule.values")), "issue": F.when(~bad, F.col("__issue.values")), "reason": reason}
-    return out.withColumns(own).drop("__fields", "__reason", "__schedule", "__issue")
+    own = {"row": F.when(reason.isNull(), F.col("__schedule.values")), "issue": F.when(reason.isNull(), F.col("__issue.values")), "reason": reason}
+    return out.withColumns(own).drop("__reason", "__schedule", "__issue")
 
 
 def rejected(records: DataFrame, key: str = "record_id", raw: str = "raw_text", feed: str = "feed") -> DataFrame:
@@ -108,14 +138,22 @@ def rejected(records: DataFrame, key: str = "record_id", raw: str = "raw_text",
 
 
 def schedule_rows(records: DataFrame, key: str = "record_id", raw: str = "raw_text", feed: str = "feed") -> DataFrame:
-    """The valid schedule records: key, the 17 columns as printed, amounts as DECIMAL and dates as DATE beside them."""
+    """The valid schedule records: key, the 17 columns as printed, amounts as DECIMAL and dates as DATE beside them.
+
+    too_large names the amounts that are valid but have more digits than the DECIMAL holds; their value is null, their text stays.
+    """
     good = classify(records, raw, feed).where("reason IS NULL AND row IS NOT NULL")
     typed = [*(amount(F.col("row")[c]).alias(f"{c}_value") for c in AMOUNTS), *(date(F.col("row")[c]).alias(f"{c}_value") for c in DATES)]
-    return good.select(key, *(F.col("row")[c].alias(c) for c in SCHEDULE_COLUMNS), *typed)
+    large = F.concat_ws(";", *(F.when(beyond(F.col("row")[c]), c) for c in AMOUNTS)).alias("too_large")
+    return good.select(key, *(F.col("row")[c].alias(c) for c in SCHEDULE_COLUMNS), *typed, large)
 
 
 def issue_rows(records: DataFrame, key: str = "record_id", raw: str = "raw_text", feed: str = "feed") -> DataFrame:
-    """The valid issue records: key, level, code, message and rows as ARRAY<INT>, empty where none are named."""
+    """The valid issue records: key, level, code, message, rows_text as written and rows as ARRAY<BIGINT>, empty where none are named.
+
+    A row number that a BIGINT does not hold is null in rows; rows_text has it.
+    """
     good = classify(records, raw, feed).where("reason IS NULL AND issue IS NOT NULL")
-    rows = F.when(F.coalesce(F.col("issue.rows"), F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.split("issue.rows", ";").cast("array<int>"))
-    return good.select(key, F.col("issue.level").alias("level"), F.col("issue.code").alias("code"), F.col("issue.message").alias("message"), rows.alias("rows"))
+    text = F.coalesce(F.col("issue.rows"), F.lit(""))
+    rows = F.transform(F.filter(F.split(text, ";"), lambda n: n != ""), lambda n: n.try_cast("bigint"))
+    return good.select(key, F.col("issue.level").alias("level"), F.col("issue.code").alias("code"), F.col("issue.message").alias("message"), text.alias("rows_text"), rows.alias("rows"))

@@ -102,6 +102,22 @@ def test_long_and_empty(spark):
     assert B.classify(df.where(F.lit(False))).count() == 0
 
 
+def test_values_beyond_their_types_load_and_are_named(spark):
+    many = "9" * 40
+    df = spark.createDataFrame([(1, "issue", "error,BLANK_COMPANY,msg,7;99999999999;" + many), (2, "schedule", schedule(cost="$" + many, fair_value="8" * 32))], "record_id LONG, feed STRING, raw_text STRING")
+    assert [r["reason"] for r in B.classify(df).collect()] == [None, None]
+    issue = B.issue_rows(df).first()
+    assert issue["rows"] == [7, 99999999999, None] and issue["rows_text"].endswith(many)
+    row = B.schedule_rows(df).first()
+    assert row["too_large"] == "cost" and row["cost"] == "$" + many and row["cost_value"] is None and row["fair_value_value"] is not None
+
+
+def test_line_break_in_an_unquoted_field_and_many_columns(spark):
+    df = spark.createDataFrame([(1, "issue", "error,BLANK_COMPANY,two\nlines,5"), (2, "issue", "x," * 30_000), (4, "issue", 'x",' * 30_000), (5, "issue", 'error,BLANK_COMPANY,"' + "," * 30_000 + '",'), (3, "schedule", schedule(company_name="a\r\nb", principal_amount="5").replace('"', "").replace("Acme, Inc.", ""))], "record_id LONG, feed STRING, raw_text STRING")
+    assert {r["record_id"]: r["reason"] for r in B.classify(df).collect()} == {1: None, 2: "column_count", 3: None, 4: "broken_quoting", 5: None}
+    assert B.issue_rows(df).where("record_id = 1").first()["message"] == "two\nlines" and B.schedule_rows(df).first()["company_name"] == "a\r\nb"
+
+
 @pytest.mark.parametrize("text,value", [("1,234", 1234), ("($5.5)", -5.5), ("-7", -7), ("—", None), ("", None), ("x", None)])
 def test_amount(spark, text, value):
     got = spark.createDataFrame([(text,)], "t STRING").select(B.amount(F.col("t"))).first()[0]
