@@ -7,6 +7,7 @@ of the permuted block list of each source, and rows are shuffled inside their sh
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -19,6 +20,10 @@ from ledgerloom.llm.tokenize import DEFAULT_TOKENIZER, token_counts
 from ledgerloom.session import cut
 
 BLOCKS = 256
+#: The assignment that is sent to every task has at most so many rows: more repeats make fewer, larger blocks.
+MOST_PLACES = 1_000_000
+#: A shard of the mix holds about so many tokens.
+SHARD_TOKENS = 50_000_000
 
 
 @dataclass
@@ -37,10 +42,6 @@ class Source:
     def tokens(self) -> int:
         return int(self.blocks.sum())
 
-    @property
-    def reachable(self) -> bool:
-        return Decimal(self.repeats) * self.tokens >= self.need
-
 
 def block_of(key: str, blocks: int, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(blocks)).cast("int")
@@ -71,7 +72,7 @@ def plan(rows: DataFrame, targets: DataFrame, source: str = "source", blocks: in
     for k, (name, share, repeats) in enumerate(wanted):
         s = Source(name, share, repeats, by.get(name, np.zeros(blocks, np.int64)), Decimal(str(share)) * size)
         if s.tokens:
-            left = min(int(s.need), s.repeats * s.tokens)
+            left = min(math.ceil(s.need), s.repeats * s.tokens)
             s.passes, left = divmod(left, s.tokens)
             order = np.random.default_rng([seed, k]).permutation(np.flatnonzero(s.blocks))
             reach = np.cumsum(s.blocks[order])
@@ -83,14 +84,26 @@ def plan(rows: DataFrame, targets: DataFrame, source: str = "source", blocks: in
     return out
 
 
+def assigned(sources: list[Source], places: list[tuple[str, int, int, int]]) -> dict[str, int]:
+    """The tokens of each source that the shards were given."""
+    by, out = {s.name: s for s in sources}, {s.name: 0 for s in sources}
+    for name, block, copy, _ in places:
+        s = by[name]
+        out[name] += s.part_tokens if block == s.part and copy == s.passes else int(s.blocks[block])
+    return out
+
+
 REPORT = "source STRING, target_share DOUBLE, max_repeats INT, source_tokens BIGINT, target_tokens DOUBLE, planned_tokens BIGINT, planned_share DOUBLE, reachable BOOLEAN"
 
 
-def report(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    """One row for each listed source: what it should and will contribute, and whether its repeats suffice."""
-    planned = [s.passes * s.tokens + int(s.blocks[s.whole].sum() if s.whole is not None else 0) + s.part_tokens for s in sources]
-    all_planned = sum(planned)
-    rows = [(s.name, s.share, s.repeats, s.tokens, float(s.need), p, p / all_planned if all_planned else 0.0, s.reachable) for s, p in zip(sources, planned)]
+def report(spark: SparkSession, sources: list[Source], places: list[tuple[str, int, int, int]]) -> DataFrame:
+    """One row for each listed source: what it should and will contribute, and whether that is enough.
+
+    A source is reachable if the blocks that the shards were given have the tokens it needs.
+    """
+    given = assigned(sources, places)
+    total = sum(given.values())
+    rows = [(s.name, s.share, s.repeats, s.tokens, float(s.need), given[s.name], given[s.name] / total if total else 0.0, given[s.name] >= s.need) for s in sources]
     return spark.createDataFrame(rows, REPORT)
 
 
@@ -122,34 +135,71 @@ def assign(sources: list[Source], shards: int, seed: int) -> list[tuple[str, int
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER, shards: int = 16, blocks: int = BLOCKS, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def block_count(targets: DataFrame, most: int = BLOCKS) -> int:
+    """How many blocks a source has: fewer where many repeats would make the assignment too long."""
+    copies = targets.agg(F.coalesce(F.sum(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)) + 1), F.lit(1))).first()[0]
+    if copies > MOST_PLACES:
+        raise ValueError("the repeats are too many for an assignment of blocks")
+    return max(1, min(most, MOST_PLACES // copies))
+
+
+def laid_out(rows: DataFrame, targets: DataFrame, source: str, blocks: int, total: int | None, seed: int, shards: int | None) -> tuple[list[Source], list[tuple[str, int, int, int]], int]:
+    """(sources, places, shards): the quotas of blocks and the shards that the splitting tree gives them to."""
+    sources = plan(rows, targets, source, blocks, total, seed)
+    if shards is None:
+        shards = max(16, math.ceil(sum(min(float(s.need), s.repeats * s.tokens) for s in sources) / SHARD_TOKENS))
+    return sources, assign(sources, shards, seed), shards
+
+
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER, shards: int | None = None, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(mix, report). mix: source, key, n_tokens, copy_no from 0, shard, place (a pseudo-random number that orders its shard).
 
     No document appears more than max_repeats times; a source that cannot reach its share gives all it may, and the report says so.
-    Documents of zero tokens (null and empty texts) carry no weight and ride along with their block. Of the one block of a source
-    that is taken in part, documents are taken in hashed order while they fit, so a share is missed by less than one document.
-    Documents of null or unlisted source, and rows of null key, are left out. The joined assignment has at most
-    sources x blocks x (max_repeats + 1) rows; documents are shuffled once, to their shard.
+    Documents of zero tokens (null and empty texts) carry no weight and ride along with their block. The one block of a source that
+    is taken in part is cut into blocks once more; of the one of these that is taken in part, documents are taken in hashed order
+    while they fit, so a share is missed by less than one document and no task holds more than a 65,536th of a source. Documents of
+    null or unlisted source, and rows of null key, are left out. shards: one for each SHARD_TOKENS if not given. The joined assignment
+    has at most MOST_PLACES rows; documents are shuffled once, to their shard.
     """
     spark = docs.sparkSession
+    blocks = block_count(targets)
     rows = cut(sized(docs.where(F.col(key).isNotNull()), targets, key, source, text, tokenizer, blocks, seed))
-    sources = plan(rows, targets, source, blocks, total, seed)
-    schema = T.StructType([T.StructField(source, T.StringType()), T.StructField("block", T.IntegerType()), T.StructField("copy_no", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-    places = spark.createDataFrame(assign(sources, shards, seed), schema)
-    # documents of the block in part: a bounded share of a source, ordered by hash within salted runs and cut at the quota
-    parts = spark.createDataFrame([(s.name, s.part, s.passes, s.part_tokens) for s in sources if s.part >= 0], T.StructType([*schema.fields[:3], T.StructField("quota", T.LongType())]))
-    running = (
-        f"sum(n_tokens) OVER (PARTITION BY `{source}`, block ORDER BY xxhash64({seed}, `{key}`, 'part'), `{key}` ROWS UNBOUNDED PRECEDING)"
-    )
-    in_part = rows.join(F.broadcast(parts), [source, "block"]).withColumn("__run", F.expr(running)).where("__run <= quota").select(key, source, "block", "copy_no", "n_tokens")
-    whole = rows.join(F.broadcast(places.join(parts.select(source, "block", "copy_no"), [source, "block", "copy_no"], "left_anti")), [source, "block"])
-    partial = in_part.join(F.broadcast(places), [source, "block", "copy_no"])
+    sources, places, shards = laid_out(rows, targets, source, blocks, total, seed, shards)
+    fields = [T.StructField(source, T.StringType()), T.StructField("block", T.IntegerType()), T.StructField("copy_no", T.IntegerType())]
+    where = spark.createDataFrame(places, T.StructType([*fields, T.StructField("shard", T.IntegerType())]))
+    in_part = {s.name: s for s in sources if s.part >= 0}
+    part = spark.createDataFrame([(s.name, s.part, s.passes) for s in in_part.values()], T.StructType(fields))
+    # the blocks taken in part, cut once more by another hash
+    again = rows.join(F.broadcast(part), [source, "block"]).withColumn("inner", block_of(key, BLOCKS, seed + 1))
+    sums: dict[str, dict[int, int]] = {}
+    for name, inner, n in again.groupBy(source, "inner").agg(F.sum("n_tokens").alias("n")).collect():
+        sums.setdefault(name, {})[inner] = n
+    chosen = []
+    for k, (name, s) in enumerate(in_part.items()):
+        left = s.part_tokens
+        order = np.random.default_rng([seed, 2, k]).permutation(sorted(sums.get(name, {})))
+        for inner in order.tolist():
+            n = sums[name][inner]
+            chosen.append((name, inner, min(n, left), n <= left))
+            left -= min(n, left)
+            if not left:
+                break
+    inner = spark.createDataFrame(chosen, T.StructType([fields[0], T.StructField("inner", T.IntegerType()), T.StructField("quota", T.LongType()), T.StructField("all", T.BooleanType())]))
+    picked = again.join(F.broadcast(inner), [source, "inner"])
+    running = f"sum(n_tokens) OVER (PARTITION BY `{source}`, inner ORDER BY xxhash64({seed}, `{key}`, 'part'), `{key}` ROWS UNBOUNDED PRECEDING)"
+    some = picked.where("NOT all").withColumn("__run", F.expr(running)).where("__run <= quota")
+    whole = rows.join(F.broadcast(where.join(part, [source, "block", "copy_no"], "left_anti")), [source, "block"])
     columns = [source, key, "n_tokens", "copy_no", "shard"]
-    out = whole.select(columns).unionByName(partial.select(columns)).withColumn("place", F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy_no"), F.col(key)))
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "place", key), report(spark, sources)
+    out = whole.select(columns)
+    for taken in (picked.where("all"), some):
+        out = out.unionByName(taken.join(F.broadcast(where), [source, "block", "copy_no"]).select(columns))
+    out = out.withColumn("place", F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy_no"), F.col(key)))
+    return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", key), report(spark, sources, places)
 
 
 def unreachable(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(source) of the listed sources whose repeats cannot give their share, from the plan of the mix."""
-    rows = sized(docs, targets, key, source, text, tokenizer, BLOCKS, 7)
-    return report(docs.sparkSession, plan(rows, targets, source)).where("NOT reachable").select("source")
+    """(source) of the listed sources that the mix gives less than their share, though each document is repeated as often as it may be."""
+    blocks = block_count(targets)
+    rows = sized(docs.where(F.col(key).isNotNull()), targets, key, source, text, tokenizer, blocks, 7)
+    sources, places, _ = laid_out(rows, targets, source, blocks, None, 7, None)
+    return report(docs.sparkSession, sources, places).where("NOT reachable").select("source")
