@@ -53,8 +53,10 @@ def runners_up(totals: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def concentration(totals: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The share in percent of the n largest in each group's fair value; null where that is 0 (AGG-10)."""
-    by_rank = ranked(totals, keys)
-    sums = by_rank.groupBy(*keys).agg(F.sum("total_fair_value").alias("total"), F.sum(F.when(F.col("rank") <= n, F.col("total_fair_value")).otherwise(0.0)).alias("top_total"), F.count("*").alias("companies"))
+    # each total is a decimal of two places printed as a double: as a decimal again, sums do not depend on partitions
+    by_rank = ranked(totals, keys).withColumn("__v", F.col("total_fair_value").cast("decimal(30,2)"))
+    some = F.sum(F.when(F.col("rank") <= n, F.col("__v")).otherwise(0))
+    sums = by_rank.groupBy(*keys).agg(F.sum("__v").cast("double").alias("total"), some.cast("double").alias("top_total"), F.count("*").alias("companies"))
     return sums.withColumn("top_share_pct", F.when(F.col("total") != 0, F.col("top_total") / F.col("total") * 100))
 
 

@@ -56,6 +56,7 @@ def page_table(pages: DataFrame, keys: list[str], limit: int = 3000) -> DataFram
 
     pages: keys, status_code, html. A page of another status than 200 keeps a row with an error instead.
     """
+    pages = pages.select(*keys, "status_code", "html")
     good = pages.where("status_code = 200")
     texts = H.scan_page_text(good, keys)
     out = good.join(texts, keys).select(*keys, "status_code", F.substring("clean_text", 1, limit).alias("clean_text"), contacts(F.col("html"), EMAIL).alias("emails"), contacts(F.col("clean_text"), PHONE).alias("phones"), F.lit(None).cast("string").alias("error"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import badrows
 from ledgerloom.plans import sql as S
-from ledgerloom.plans import relational_queries, schedule_queries, text_queries
+from ledgerloom.plans import relational_queries, schedule_queries, site_queries, text_queries
 from ledgerloom.session import table
 
 
-PARTS = [schedule_queries.ALL, text_queries.ALL, relational_queries.ALL]
+PARTS = [schedule_queries.ALL, text_queries.ALL, relational_queries.ALL, site_queries.ALL]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

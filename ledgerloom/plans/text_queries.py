@@ -121,10 +121,10 @@ HASHED_RETRIEVE = f"""WITH v AS (SELECT chunk_id, {_VECTOR.format(t='text')} AS
   SELECT chunk_id, round(score, 6) AS score, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, chunk_id) AS rn FROM s) WHERE rn <= 10"""
 
 
-def _answer(spark: SparkSession, d: str, least: float | None) -> DataFrame:
-    found = search.retrieve(_indexed(spark, d), QUESTION, 3, min_score=least)
+def _answer(spark: SparkSession, d: str, least: float | None, question: str = QUESTION) -> DataFrame:
+    found = search.retrieve(_indexed(spark, d), question, 3, min_score=least)
     cited = found.select("rank", "text", T.cite(F.col("doc_id"), F.col("item"), F.coalesce("section_title", F.lit("")), F.col("char_start"), F.col("char_end")).alias("citation"))
-    return search.answer(cited, QUESTION, "hvbr")
+    return search.answer(cited, question, "hvbr")
 
 
 def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +139,8 @@ ANSWER_EXTRACTIVE = f"""WITH r AS (SELECT rank, {_CITE} AS citation, replace({_F
 
 
 def answer_refusal(spark: SparkSession, d: str) -> DataFrame:
-    """No chunk reaches the least score, so there is no answer and no model is asked."""
-    return _answer(spark, d, 2.0).select("text", "ticker", "refused", "llm_used", F.size("citations").alias("sources"))
+    """No chunk comes near a question whose words stand nowhere, so there is no answer and no model is asked."""
+    return _answer(spark, d, 0.6, "xylophone zeppelin quixotic").select("text", "ticker", "refused", "llm_used", F.size("citations").alias("sources"))
 
 
 ANSWER_REFUSAL = f"""SELECT '{(search.REFUSAL % 'HVBR').replace("'", "''")}' AS text, 'HVBR' AS ticker, true AS refused, false AS llm_used, 0 AS sources"""

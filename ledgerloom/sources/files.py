@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.badrows import SCHEDULE_COLUMNS
 
+try:
+    import yaml
+except ImportError:  # only profiles need it
+    yaml = None
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, html): each file as one document (SRC-04)."""
@@ -61,14 +66,11 @@ def newest_filing(filings: DataFrame, form: str = "10-K") -> DataFrame:
 
 
 def parse_profile(text: str) -> dict[str, str | None]:
-    """A profile of plain 'key: value' lines; values may be quoted (SRC-11)."""
-    out: dict[str, str | None] = {}
-    for line in text.splitlines():
-        m = re.match(r"^([A-Za-z_]+):\s*(.*?)\s*$", line)
-        if m:
-            value = m[2].strip().strip("\"'")
-            out[m[1]] = value or None
-    return out
+    """A profile in YAML (SRC-11): every value as text, leading zeros kept; no value is None."""
+    if yaml is None:
+        raise RuntimeError("profiles need the yaml package")
+    loaded = yaml.load(text, Loader=yaml.BaseLoader) or {}
+    return {str(k): str(v).strip() or None for k, v in loaded.items()}
 
 
 def profiles(folder: str) -> dict[str, dict]:

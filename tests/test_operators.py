@@ -217,3 +217,27 @@ def test_files(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "s"))
     assert files.read_schedule(spark, str(tmp_path / "s")).first()["company_name"] == 'A "x", B\nC'
     assert files.paths("raw", "data", "ABC", "In Duct!")["deepdive"] == "data/in_duct_filing_data.json"
+
+
+def test_profile_with_a_block_of_text():
+    from ledgerloom.sources.files import parse_profile
+
+    assert parse_profile('name: Acme\ncik: "0001"\ncode: 007\nnotes: >\n  two\n  lines\nempty:\n') == {"name": "Acme", "cik": "0001", "code": "007", "notes": "two lines", "empty": None}
+
+
+def test_people_in_cards_and_in_lines():
+    from ledgerloom.sources.html import people
+
+    card = '<div class="Team-card"><h3>Ann Lee</h3><p>Chief Executive</p><p>She founded the company long ago.</p></div><div class="staff"><h3>X</h3></div>'
+    assert people(card) == [(0, "Ann Lee", "Chief Executive", "She founded the company long ago.")]
+    assert people("<p>Ann Mary Lee | Director</p><p>no name here</p>") == [(0, "Ann Mary Lee", "Director", "")]
+    assert people(None) == []
+
+
+def test_empty_index_raises(spark):
+    import pytest
+
+    from ledgerloom.operators import search
+
+    with pytest.raises(ValueError):
+        search.index(spark.createDataFrame([], "chunk_id LONG, text STRING"))
