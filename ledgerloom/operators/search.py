@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +28,24 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Counts of lower-case words by hashed bucket, at unit length: the embedding where there is no model (VEC-01)."""
+    """Counts of lower-case words by hashed bucket, at unit length: the embedding where there is no model (VEC-01).
+
+    Words are hashed by built-in expressions; only their buckets go through Arrow, to be counted once.
+    """
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
     buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"), F.lit(dimensions)))
 
-    def unit(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-        return T.let(norm, lambda n: F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(0.0)))
 
-    counted = T.let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(bs) - F.size(F.array_remove(bs, i.cast("bigint")))).cast("double")))
-    return T.let(counted, unit)
+    @F.pandas_udf("array<double>")
+    def unit_counts(batch: pd.Series) -> pd.Series:
+        out = []
+        for b in batch:
+            counts = np.bincount(np.asarray(b, np.int64), minlength=dimensions).astype(float)
+            norm = np.sqrt((counts * counts).sum())
+            out.append(counts / norm if norm else counts)
+        return pd.Series(out)
+
+    return unit_counts(buckets)
 
 
 def index(chunks: DataFrame, text: str = "text", embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import relational, schedule
-from ledgerloom.session import table
+from ledgerloom.session import checkpoint_dir, table
 from ledgerloom.streaming import events as E
 
 
@@ -169,8 +171,8 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The hourly windows by a stream that reads all there is and ends."""
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    return E.drain(E.by_window(stream, "1 day"), f"stream_tumbling_{abs(hash(d))}", "complete").withColumn("total", F.round("total", 2)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    name = f"stream_tumbling_{uuid.uuid4().hex}"
+    return E.drain(E.by_window(stream, "1 day"), name, "complete", f"{checkpoint_dir(spark)}/{name}").withColumn("total", F.round("total", 2)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 STREAM_TUMBLING = TUMBLING.replace("INTERVAL 1 HOUR", "INTERVAL 1 DAY")
