@@ -36,6 +36,8 @@ COVERAGE = 0.4
 #: A learnt alias: so many companies at least, and this share of them with one entry.
 LEAST_COMPANIES, LEAST_SHARE, EVIDENCE = 3, 0.6, 9.0
 MOST_ENTRIES = 100_000
+#: A trie holds about so many learnt aliases; more are searched in slices.
+ALIASES_IN_TRIE = 20_000
 #: Answers of up to so many bytes are sent to every task.
 BROADCAST_BYTES = 64 << 20
 
@@ -160,12 +162,19 @@ class Matcher:
 
         Brackets at the end are left out first, and what stands behind a dash only where nothing is in reach with it.
         """
-        forms = bared(text)
         out: dict[int, float] = {}
-        for t in forms:
-            out.update(dict.fromkeys(self.exact.get("".join(words_of(t)), ()), 0.0))
-        for t in self.forms(text):
+        for _, found in self.by_form(text):
+            for value, cost in found.items():
+                out[value] = min(cost, out.get(value, 1e9))
+        return out
+
+    def by_form(self, text: str) -> list[tuple[int, dict[int, float]]]:
+        """(the number of a form, the entries in its reach with their distances): -1 for what any form is exactly, and the first form; else the first form that has any."""
+        exact = {value: 0.0 for t in bared(text) for value in self.exact.get("".join(words_of(t)), ())}
+        got = [(-1, exact)] if exact else []
+        for i, t in enumerate(self.forms(text)):
             words = words_of(t)
+            out: dict[int, float] = {}
             whole = "".join(words)
             most = reach(len(whole))
             if whole not in self.whole_found:
@@ -176,8 +185,10 @@ class Matcher:
                 if cost <= max(most, 1) + 1:
                     out[value] = min(cost, out.get(value, 1e9))
             if out:
+                got.append((i, out))
+            if got:
                 break
-        return out
+        return got
 
     @lru_cache(200_000)  # noqa: B019
     def word(self, token: str) -> dict[str, float]:
@@ -261,11 +272,12 @@ def _lists(rows: DataFrame, field: str, value: str, name: str) -> dict[str, list
     return out
 
 
-ANSWER = "f string, v string, key string, value_id int, likely int, near array<struct<value_id:int,distance:double>>"
+ANSWER = "f string, v string, key string, value_id int, likely int, near array<struct<value_id:int,distance:double>>, form int"
 
 
 def searched(distinct: DataFrame, lists: dict[str, list[tuple[int, str]]], aliases: dict[str, list[tuple[int, str]]]) -> DataFrame:
-    """(f, v, key, value_id, likely, near) of distinct (f, v): the entry of least distance, that of most words, all in the distance of the value."""
+    """(f, v, key, value_id, likely, near, form) of distinct (f, v): the entry of least distance, that of most words, all in the distance
+    of the value; where these are tied, the number of the form that has them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers: dict[str, Matcher] = {}
@@ -275,8 +287,9 @@ def searched(distinct: DataFrame, lists: dict[str, list[tuple[int, str]]], alias
                 if f in lists and f not in matchers:
                     matchers[f] = Matcher(lists[f], [(name, i) for i, name in aliases.get(f, [])])
                 got = matchers[f].match_all(values) if f in lists else [(0, 0, ())] * len(values)
-                rows = [(f, v, key_of(v), meant, likely, [{"value_id": i, "distance": float(c)} for i, c in near]) for v, (meant, likely, near) in zip(values, got)]
-                yield pd.DataFrame(rows, columns=["f", "v", "key", "value_id", "likely", "near"])
+                form = lambda v, tied: matchers[f].by_form(v)[0][0] if tied else 0  # noqa: B023, E731
+                rows = [(f, v, key_of(v), meant, likely, [{"value_id": i, "distance": float(c)} for i, c in near], form(v, near and not meant)) for v, (meant, likely, near) in zip(values, got)]
+                yield pd.DataFrame(rows, columns=["f", "v", "key", "value_id", "likely", "near", "form"])
 
     return distinct.mapInPandas(run, ANSWER)
 
@@ -303,6 +316,57 @@ def learnt_aliases(named: DataFrame) -> DataFrame:
     return won.join(usual, ["f", "value_id"]).join(everyone, "f").where(likely >= EVIDENCE).select("f", "key", "value_id")
 
 
+def among_aliases(values: DataFrame, learnt: DataFrame, most: int) -> DataFrame:
+    """(f, v, form, value_id, distance): the learnt aliases (f, key, value_id) in reach of distinct (f, v).
+
+    They are searched in a grid: each cell holds the trie of a slice of about most aliases and reads a part of the values in batches, so no
+    task grows with the aliases, and none is left out.
+    """
+    slices = max(1, math.ceil(learnt.count() / most))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda n, c: F.pmod(F.xxhash64("f", c), F.lit(n)).cast("int")
+    names = learnt.select("f", F.col("key").alias("v"), "value_id", at(slices, "key").alias("i"), every(parts).alias("j"))
+    asked = values.select("f", "v", F.lit(0).alias("value_id"), every(slices).alias("i"), at(parts, "v").alias("j"))
+    cells = names.union(asked).select(F.xxhash64("f", "i", "j").alias("cell"), "f", "v", "value_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, names, matcher = None, [], None
+        for batch in batches:
+            rows = []
+            for now, own in batch.groupby("cell", sort=False):
+                if now != cell:
+                    cell, names, matcher = now, [], None
+                known = own["value_id"] > 0
+                names += zip(own["v"][known], own["value_id"][known].tolist())
+                texts = own["v"][~known].tolist()
+                if texts and names:
+                    matcher = matcher or Matcher([], names)
+                    matcher.match_all(texts)
+                    rows += [(f, v, form, i, float(c)) for f, v in zip(own["f"][~known], texts) for form, found in matcher.by_form(v) for i, c in found.items()]
+            yield pd.DataFrame(rows, columns=["f", "v", "form", "value_id", "distance"])
+
+    # the rows of a cell stand together in a sorted partition, its aliases first
+    ordered = widely(cells, "cell").sortWithinPartitions("cell", F.desc("value_id"))
+    return ordered.mapInPandas(run, "f string, v string, form int, value_id int, distance double")
+
+
+def taught(open_: DataFrame, learnt: DataFrame, most: int) -> DataFrame:
+    """open_, answers without an entry, as they are with the learnt aliases besides: the same as one search of entries and aliases."""
+    hits = among_aliases(open_.select("f", "v"), learnt, most).groupBy("f", "v").agg(F.collect_list(F.struct("form", "value_id", "distance")).alias("hits"))
+    first = F.transform("near", lambda x: F.struct(F.col("form").alias("form"), x["value_id"].alias("value_id"), x["distance"].alias("distance")))
+    found = open_.join(hits, ["f", "v"], "left").withColumn("all", F.when(F.col("hits").isNull(), first).otherwise(F.concat(first, "hits")))
+    found = found.withColumn("form", F.array_min(F.transform("all", lambda x: x["form"])))
+    # what a form is exactly goes with the first form; of the others only the first that has any counts
+    found = found.withColumn("all", F.filter("all", lambda x: (x["form"] == F.col("form")) | (F.col("form") <= 0) & (x["form"] <= 0)))
+    nearest = lambda i: F.array_min(F.transform(F.filter("all", lambda x: x["value_id"] == i), lambda x: x["distance"]))
+    found = found.withColumn("near", F.transform(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["value_id"]))), lambda i: F.struct(i.alias("value_id"), nearest(i).alias("distance"))))
+    least = F.array_min(F.transform("near", lambda x: x["distance"]))
+    found = found.withColumn("best", F.filter("near", lambda x: x["distance"] == least))
+    meant = F.when(F.size("best") == 1, F.get("best", F.lit(0))["value_id"]).otherwise(0)
+    return found.select("f", "v", meant.alias("value_id"), F.when(F.size("near") == 0, F.col("likely")).otherwise(0).alias("likely"), "near")
+
+
 def attached(rows: DataFrame, field: str, value: str, answers: DataFrame, n_bytes: int, salts: int = 8) -> DataFrame:
     """rows left-joined with answers (f, v, ...): sent to every task while small, else shuffled with salted keys, so that a value of a
     third of all rows is spread over salts tasks."""
@@ -322,8 +386,8 @@ def map_values(values: DataFrame, reference: DataFrame, field: str = "field_name
     aliases: (field_name, value_id, alias) other names that are known. by: the column whose groups teach further ones, in the rows of
     teachers, or of values if none are given. A null or blank value, and a value of a field that the reference list lacks, has 0. Each
     distinct value is searched once, and the answers go back to the rows in a join. The reference list and the aliases are held by
-    each task, some 200 trie nodes for an entry; more than MOST_ENTRIES entries raise, and learnt aliases beyond as many are joined by
-    their words instead.
+    each task, some 200 trie nodes for an entry; more than MOST_ENTRIES entries raise. Learnt aliases are searched like these, however
+    many there are.
     """
     lists = _lists(reference, field, "value_id", "canonical")
     known = _lists(aliases, field, "value_id", "alias") if aliases is not None else {}
@@ -335,12 +399,8 @@ def map_values(values: DataFrame, reference: DataFrame, field: str = "field_name
     n_bytes = 120 * n + 2 * chars
     if by:
         learnt = cut(learnt_aliases(attached(more, "f", "v", answers.select("f", "v", "key", "value_id"), n_bytes)))
-        open_, done = answers.where("value_id = 0"), answers.where("value_id > 0")
-        again = open_.drop("value_id").join(learnt, ["f", "key"], "left").select("f", "v", "key", F.coalesce("value_id", F.lit(0)).alias("value_id"), "likely", "near")
-        if 0 < learnt.count() <= MOST_ENTRIES:
-            taught = _lists(learnt, "f", "value_id", "key")
-            again = searched(widely(open_.select("f", "v"), "v"), lists, {f: known.get(f, []) + taught.get(f, []) for f in known.keys() | taught.keys()})
-        answers = done.unionByName(again)
+        done, open_ = answers.where("value_id > 0"), answers.where("value_id = 0")
+        answers = done.select("f", "v", "value_id", "likely", "near").unionByName(cut(taught(open_, learnt, ALIASES_IN_TRIE)))
     meant = F.when(F.col("value_id") > 0, F.col("value_id")).otherwise(F.col("likely"))
     joined = attached(values, field, value, answers.select("f", "v", meant.alias("__id"), F.col("near").alias("__near")), n_bytes)
     nothing = F.array().cast("array<struct<value_id:int,distance:double>>")

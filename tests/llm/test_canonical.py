@@ -86,3 +86,30 @@ def test_aliases_are_learnt_from_carriers(spark, monkeypatch, n_bytes):
     df = spark.createDataFrame([(i, v, f"company {c}" if c is not None else None) for i, (c, v) in enumerate(rows)], "inv_id LONG, industry STRING, company_name STRING")
     got = {(r["value"], r["value_id"]) for r in C.free_entries(df, reference, fields=("industry",)).collect()}
     assert got == {("Lawn and grounds upkeep", 1), ("Falconry", 0), ("LAWN and grounds upkep (a)", 1)}
+
+
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_misspelt_aliases_are_found_however_many_are_learnt(spark, monkeypatch, most):
+    """The answers are the same where more aliases are learnt than the reference list may have entries."""
+    monkeypatch.setattr(C, "MOST_ENTRIES", most)
+    monkeypatch.setattr(C, "ALIASES_IN_TRIE", min(most, 20_000), raising=False)
+    reference = spark.createDataFrame([(i, "industry", n) for i, n in ENTRIES[:2]], "value_id INT, field_name STRING, canonical STRING")
+    rows = [(c, ENTRIES[c % 2][1]) for c in range(40) for _ in range(3)]
+    rows += [(c, v) for k, v in enumerate(("Lawn and grounds upkeep", "Stethoscopes", "Hedge trimming")) for c in range(k % 2, 40, 2)] + [(0, "Lawn and gruonds upkep"), (1, "stetoscopes (a)"), (2, "Hegde trimming - US"), (3, "Falconry")]
+    df = spark.createDataFrame([(i, v, f"company {c}") for i, (c, v) in enumerate(rows)], "inv_id LONG, industry STRING, company_name STRING")
+    got = {(r["value"], r["value_id"]) for r in C.free_entries(df, reference, fields=("industry",)).collect()}
+    assert got == {("Lawn and grounds upkeep", 1), ("Stethoscopes", 2), ("Hedge trimming", 1), ("Lawn and gruonds upkep", 1), ("stetoscopes (a)", 2), ("Hegde trimming - US", 1), ("Falconry", 0)}
+
+
+def test_slices_give_what_one_search_gives(spark):
+    """Values whose entries are tied, or that are aliases only in another form, against one trie of entries and aliases."""
+    entries = [(1, "abcdefgh"), (2, "abcdefgx"), (3, "zzzzzzzz")]
+    names = [("abcdefgy", 3), ("klmnopqr", 1), ("klmnopqs", 2), ("uvwxyzab cd", 3), ("abcdefgh qq", 3)]
+    texts = ["abcdefgy", "abcdefgw", "klmnopqt", "klmnopqr - US", "uvwxyzab cdx (a)", "abcdefgq - qq", "abcdefgh, qqq", "klmnopqs (b) - nn", "nothing"]
+    want = {t: C.Matcher(entries, names).match(t) for t in texts}
+    distinct = spark.createDataFrame([("f", t) for t in texts], "f STRING, v STRING")
+    learnt = spark.createDataFrame([("f", k, i) for k, i in names], "f STRING, key STRING, value_id INT")
+    open_ = C.searched(distinct, {"f": entries}, {}).where("value_id = 0")
+    for most in (1, 2, 100):
+        for r in C.taught(open_, learnt, most).collect():
+            assert (r["value_id"], r["likely"], tuple((x["value_id"], x["distance"]) for x in r["near"])) == want[r["v"]], r["v"]
