@@ -4,25 +4,31 @@ A hidden-event n-gram language model puts boundary tokens between words. Empty l
 or before a word in small letters are none; of all other positions where a sentence may end (after a period, an ellipsis, a closed
 quotation, or at a space in scripts that have no period) the model weighs a boundary, with the next words as the start of a
 sentence, against the same words as a continuation. Forward-backward posteriors along a paragraph decide. The model learns from the
-starts and ends of paragraphs and, by expectation maximisation, from its own posteriors, on a bounded sample of documents.
+starts and ends of paragraphs and, by expectation maximisation, from its own posteriors, on all texts: equal runs of places are counted
+once, and each round is a sum over the counted runs. Words of few places are known by their shape only, so the model stays small.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import spread
+from ledgerloom.session import cut, spread
 
-SAMPLE_DOCS = 4000
 ROUNDS = 4
+#: A word is known by itself if it stands at KNOWN places, starts sentences if it begins BEGINS paragraphs, and is whole if it stands BARE
+#: times without a period. These hold for up to PER texts and grow with the texts beyond, as chance cases do. Weights are summed as
+#: whole numbers of a UNIT-th, so that the model is the same whatever the partitioning.
+KNOWN, BEGINS, BARE, PER, UNIT = 4, 3, 2, 4_000, 1_000_000
 #: Fixed value: Unicode White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 EMPTY_LINE = re.compile(f"(?:\r\n|\n|\r(?!\n)|[\x85 ])[{SPACE}]*[\n\r\x85 ]| ")
@@ -256,29 +262,30 @@ class BoundaryModel:
             return (p.mark, l1), (p.mark, l1, l2)
         return (p.mark,), (p.mark, shape(p.l1)), (p.mark, l1), (p.mark, l1, l2)
 
-    def note(self, p: Place, weight: float, fresh: bool = False) -> None:
-        """Count a place that is a boundary with some weight."""
+    def note(self, p: Place, weight: float, n: int = 1) -> None:
+        """Count n places that are boundaries with some weight, in parts of UNIT."""
         much = 0.15 if p.verdict == NO else 1.0
-        for c in self.contexts(p, fresh):
-            self.ends[c][1] += weight * much
-            self.ends[c][0] += (1 - weight) * much
+        yes, no = round(weight * much * UNIT) * n, round((1 - weight) * much * UNIT) * n
+        for c in self.contexts(p, False):
+            self.ends[c][1] += yes
+            self.ends[c][0] += no
         if p.verdict != NO:
-            self.note_start(p.r1, p.r2, weight)
+            self.note_start(p.r1, p.r2, yes)
             r1, l1, of = self.right(p.r1), self.left(p.l1), script(p.r1)
             for key in ((p.mark, of, r1), (p.mark, of, l1, r1)):
-                self.goes_on[key] += 1 - weight
+                self.goes_on[key] += no
             for key in ((p.mark, of), (p.mark, of, l1)):
-                self.goes_on_all[key] += 1 - weight
+                self.goes_on_all[key] += no
 
-    def note_start(self, r1: str, r2: str, weight: float = 1.0) -> None:
+    def note_start(self, r1: str, r2: str, weight: float) -> None:
         a, b = self.right(r1), self.right(r2)
         self.starts[(a, b)] += weight
         self.starts[a] += weight
         self.starts["", script(r1)] += weight
 
-    def note_end(self, l1: str, l2: str, mark: str) -> None:
+    def note_end(self, l1: str, l2: str, mark: str, weight: float) -> None:
         for c in ((mark,), (mark, shape(l1)), (mark, self.left(l1)), (mark, self.left(l1), self.left(l2))):
-            self.ends[c][1] += 1
+            self.ends[c][1] += weight
 
     def chance(self, p: Place, fresh: bool = False) -> tuple[float, float]:
         """(weight of no boundary, weight of a boundary) at a place, its next words included."""
@@ -338,15 +345,24 @@ class BoundaryModel:
         return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(fore, back)]
 
 
-def fit(texts: Iterable[str], rounds: int = ROUNDS) -> BoundaryModel:
-    """The model of some texts. Paragraph edges are sure; other places count by their posteriors of the round before."""
-    chains, edges, lefts, rights, bare = [], [], Counter(), Counter(), Counter()
+def tallied(texts: Iterable[str]) -> Counter:
+    """How often the texts have each ("run", places), ("edge", (how a paragraph starts, how it ends)) and ("bare", word).
+
+    A place whose context holds no earlier one starts a run; what is before it has no part in its posterior.
+    """
+    out: Counter = Counter()
     for text in texts:
-        bare.update(BARE_WORD.findall(text))
+        out.update(("bare", w) for w in BARE_WORD.findall(text))
         for start, end in paragraphs(text):
-            chain = places(text, start, end, full=True)
+            run: list[tuple] = []
+            for p in places(text, start, end, full=True):
+                if run and not p.near:
+                    out["run", tuple(run)] += 1
+                    run = []
+                run.append((p.verdict, p.mark, p.l1, p.l2, p.r1, p.r2, p.near))
+            if run:
+                out["run", tuple(run)] += 1
             m = MAY_END.search(text, max(start, end - 8), end)
-            tail = None
             if m and m[0] and m.end() == end:
                 l1, l2, _ = left_tokens(text, m.start(), start)
                 closed = m[0][-1] in CLOSERS
@@ -357,54 +373,163 @@ def fit(texts: Iterable[str], rounds: int = ROUNDS) -> BoundaryModel:
             elif HAN_END.match(text, end - 1) and end - start > 15:
                 l1, l2, _ = left_tokens(text, end, start)
                 tail = (l1, l2, WIDE)
+            else:
+                continue
             # a heading is no sentence: only a paragraph with an end mark shows how sentences start
-            head = right_tokens(text, start, end) if tail else None
-            edges.append((head, tail))
-            if chain:
-                chains.append(chain)
-            for p in chain:
-                lefts[p.l1] += 1
-                rights[p.r1] += 1
-            if tail:
-                lefts[tail[0]] += 1
-                rights[head[0]] += 1
-    # a word that starts paragraphs again and again starts sentences; one that stands without a period is no abbreviation
-    begins = Counter(head[0] for head, _ in edges if head)
-    starter = {w for w, n in begins.items() if n >= 3 and w.rstrip("'’").isalpha() and len(w) > 1 and w not in KNOWN_ABBREVIATIONS}
-    whole = {w for w, n in bare.items() if n >= 2 and n * 20 >= lefts[w] and w not in KNOWN_ABBREVIATIONS}
-
-    def first_guess(p: Place) -> float | None:
+            out["edge", (right_tokens(text, start, end), tail)] += 1
+    return out
+
+
+def words_in(kind: str, item) -> Iterator[tuple[str, str]]:
+    """(side, word): "l" left of a place, "r" right of it, "b" at the beginning of a paragraph, "w" without a period."""
+    if kind == "run":
+        for place in item:
+            yield "l", place[2]
+            yield "r", place[4]
+    elif kind == "edge":
+        yield from (("l", item[1][0]), ("r", item[0][0]), ("b", item[0][0]))
+    else:
+        yield "w", item
+
+
+def at_least(n: int, texts: int) -> int:
+    return max(n, math.ceil(n * texts / PER))
+
+
+def based(rights: Iterable[tuple[str, str, int]]) -> Counter:
+    """How many places have each right word, or shape, and each script."""
+    base: Counter = Counter()
+    for word, of, n in rights:
+        base[word] += n
+        base["", of] += n
+    return base
+
+
+class Rules:
+    """What is known of the words beside places before the first round."""
+
+    def __init__(self, known_left: set[str], known_right: set[str], whole: set[str], at_places: set[str], begins: set[str], base: Counter) -> None:
+        self.known_left, self.known_right, self.base = known_left | set(ABBREVIATIONS), known_right, base
+        # a word that starts paragraphs again and again starts sentences; one that stands without a period is no abbreviation
+        self.starter = {w for w in begins if w.rstrip("'’").isalpha() and len(w) > 1 and w not in KNOWN_ABBREVIATIONS}
+        self.whole = whole - KNOWN_ABBREVIATIONS
+        self.at_places = at_places & self.whole
+
+    def blank(self) -> BoundaryModel:
+        model = BoundaryModel()
+        model.known_left, model.known_right, model.whole, model.base = self.known_left, self.known_right, self.whole, self.base
+        return model
+
+    def first_guess(self, p: Place) -> float | None:
         if p.verdict != ASK:
             return float(p.verdict == YES)
         if p.mark == ".":
-            return 1.0 if p.r1 in starter else 0.0 if p.l1 in KNOWN_ABBREVIATIONS else 0.9 if p.l1 in whole else None
+            return 1.0 if p.r1 in self.starter else 0.0 if p.l1 in KNOWN_ABBREVIATIONS else 0.9 if p.l1 in self.whole else None
         return 0.8 if p.mark == " " else None
 
-    model = BoundaryModel()
-    for r in range(rounds):
-        new = BoundaryModel()
-        new.known_left = {w for w, n in lefts.items() if n >= 4}
-        new.known_right = {w for w, n in rights.items() if n >= 4}
-        for w, n in rights.items():
-            new.base[new.right(w)] += n
-            new.base["", script(w)] += n
-        new.known_left.update(ABBREVIATIONS)
-        new.whole = whole
+    def count(self, new: BoundaryModel, counts: Iterable[tuple[str, tuple, int]], model: BoundaryModel | None) -> None:
+        """Count runs and edges: paragraph edges are sure, other places count by their posteriors of the round before."""
+        for kind, item, n in counts:
+            if kind == "edge":
+                new.note_start(*item[0], n * UNIT)
+                new.note_end(*item[1], n * UNIT)
+            elif kind == "run":
+                chain = [Place(0, *place) for place in item]
+                for p, w in zip(chain, model.posteriors(chain) if model else map(self.first_guess, chain)):
+                    if w is not None:
+                        new.note(p, w, n)
+
+    def model(self, counted: BoundaryModel) -> BoundaryModel:
+        """The model of what was counted, and of the fixed abbreviations."""
+        out = self.blank()
+        for c, (no, yes) in counted.ends.items():
+            out.ends[c] = [no / UNIT, yes / UNIT]
+        for name in ("starts", "goes_on", "goes_on_all"):
+            getattr(out, name).update({key: n / UNIT for key, n in getattr(counted, name).items()})
         for w in ABBREVIATIONS:
-            new.ends[(".", w)][0] += 4
-        for w in whole & lefts.keys():
-            new.ends[(".", new.left(w))][1] += 2
-        for head, tail in edges:
-            if head:
-                new.note_start(*head)
-            if tail:
-                new.note_end(*tail)
-        for chain in chains:
-            weights = model.posteriors(chain) if r else map(first_guess, chain)
-            for p, w in zip(chain, weights):
-                if w is not None:
-                    new.note(p, w)
-        model = new
+            out.ends[(".", w)][0] += 4
+        for w in self.at_places:
+            out.ends[(".", out.left(w))][1] += 2
+        return out
+
+
+def fit(texts: Iterable[str], rounds: int = ROUNDS) -> BoundaryModel:
+    """The model of some texts, in one process."""
+    texts = list(texts)
+    counts = tallied(texts)
+    of: dict[str, Counter] = {side: Counter() for side in "lrbw"}
+    for (kind, item), n in counts.items():
+        for side, w in words_in(kind, item):
+            of[side][w] += n
+    least, begins, bare = (at_least(n, len(texts)) for n in (KNOWN, BEGINS, BARE))
+    known = [{w for w, n in of[side].items() if n >= least} for side in "lr"]
+    base = based((w if w in known[1] else shape(w), script(w), n) for w, n in of["r"].items())
+    whole = {w for w, n in of["w"].items() if n >= bare and n * 20 >= of["l"][w]}
+    rules = Rules(*known, whole, set(of["l"]), {w for w, n in of["b"].items() if n >= begins}, base)
+    model = None
+    for _ in range(rounds):
+        counted = rules.blank()
+        rules.count(counted, ((kind, item, n) for (kind, item), n in counts.items()), model)
+        model = rules.model(counted)
+    return model
+
+
+def packed(key) -> str:
+    return json.dumps(key, ensure_ascii=False)
+
+
+def unpacked(key: str):
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+    return tuples(json.loads(key))
+
+
+def fit_table(df: DataFrame, text: str, rounds: int = ROUNDS) -> BoundaryModel:
+    """The model of all texts of a table, the same as that of fit; the driver gets the words that count and the sums of each round."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 2_000):
+                rows = [(kind, packed(item), n) for (kind, item), n in tallied(batch["t"][a : a + 2_000]).items()]
+                yield pd.DataFrame([("text", "", len(batch["t"][a : a + 2_000])), *rows], columns=["kind", "item", "n"])
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got: Counter = Counter()
+            for kind, item, n in batch.itertuples(index=False):
+                for side, w in words_in(kind, unpacked(item)):
+                    got[side, w, shape(w) if side == "r" else "", script(w) if side == "r" else ""] += n
+            yield pd.DataFrame([(*key, n) for key, n in got.items()], columns=["side", "word", "shape", "script", "n"])
+
+    tallies = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(tally, "kind string, item string, n bigint")
+    counts = cut(tallies.groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    texts = counts.where("kind = 'text'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    said = counts.where("kind <> 'text'").mapInPandas(words, "side string, word string, shape string, script string, n bigint")
+    said = cut(said.groupBy("side", "word", "shape", "script").agg(F.sum("n").alias("n")))
+    least, begins, bare = (at_least(n, texts) for n in (KNOWN, BEGINS, BARE))
+    of = lambda side: said.where(F.col("side") == side)
+    names = lambda rows: {r["word"] for r in rows.select("word").collect()}
+    right = of("r").groupBy(F.when(F.col("n") >= least, F.col("word")).otherwise(F.col("shape")).alias("word"), "script").agg(F.sum("n").alias("n"))
+    whole = names(of("w").join(of("l").select("word", F.col("n").alias("left")), "word").where(f"n >= {bare} AND n * 20 >= left"))
+    rules = Rules(names(of("l").where(F.col("n") >= least)), names(of("r").where(F.col("n") >= least)), whole, whole, names(of("b").where(F.col("n") >= begins)), based(map(tuple, right.collect())))
+    context, model = df.sparkSession.sparkContext, None
+    tables = ("ends", "starts", "goes_on", "goes_on_all")
+    for _ in range(rounds):
+        sent = context.broadcast((rules, model and frozen(model)))
+
+        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            rules, model = sent.value
+            counted = rules.blank()
+            for batch in batches:
+                rules.count(counted, ((kind, unpacked(item), n) for kind, item, n in batch.itertuples(index=False)), model)
+            rows = [(t, packed(key), *(n if t == "ends" else (0, n))) for t in tables for key, n in getattr(counted, t).items()]
+            yield pd.DataFrame(rows, columns=["t", "key", "no", "yes"]).astype({"no": "int64", "yes": "int64"})
+
+        counted = rules.blank()
+        sums = counts.where("kind IN ('run', 'edge')").mapInPandas(count, "t string, key string, no bigint, yes bigint").groupBy("t", "key")
+        for r in sums.agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).toLocalIterator():
+            getattr(counted, r["t"])[unpacked(r["key"])] = [r["no"], r["yes"]] if r["t"] == "ends" else r["yes"]
+        model = rules.model(counted)
+        sent.unpersist()
     return model
 
 
@@ -451,14 +576,14 @@ def frozen(model: BoundaryModel) -> BoundaryModel:
     return model
 
 
-def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> DataFrame:
+def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(key, sent_start, sent_end): the sentence units of each text by offsets in code points, the end exclusive.
 
-    Null, empty and blank texts have no unit; repeated rows have theirs each; other columns are not read. The model is fitted on at
-    most docs texts, so its size is bounded whatever the corpus, and every text is then segmented whole, without a shuffle.
+    Null, empty and blank texts have no unit; repeated rows have theirs each; other columns are not read. The model is fitted on all
+    texts, or on a sample of docs texts where a caller asks for one, and every text is then segmented whole, without a shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(frozen(fit(sample(df, key, text, docs), rounds)))
+    sent = df.sparkSession.sparkContext.broadcast(frozen(fit_table(df, text, rounds) if docs is None else fit(sample(df, key, text, docs), rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -72,3 +72,16 @@ def test_unpunctuated_japanese(model):
 @pytest.mark.parametrize("text", ["第7項　リスク要因", "第十二章 风险因素", "该笔贷款由 Sefdan 公司于 2014 年提供。"])
 def test_a_space_beside_han_is_no_boundary_by_itself(model, text):
     assert [text[a:b] for a, b in S.units(text, model)] == [text]
+
+
+def test_all_texts_teach(spark, monkeypatch):
+    """The model of a table is that of all its texts, however many there are and however they are parted."""
+    kinds = ["Fees of Abcd. Xen rose by 3. Next it fell.\n\nThe end. It was so.", "See Qrs. Five of them. The Qrs. Act holds.\n\nAbcd. held it.", "利息を払う。 次の行 です\n\n担保には在庫、売掛金、不動産などが含まれる", "„Gut. Ja.“ sagte er... Dann (So.) ging es."]
+    texts = [kinds[i % 4] if i < 4100 else f"Late Vwx. Number {i} came.\n\nVwx. stayed." for i in range(4400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    want = S.frozen(S.fit(texts))
+    for parts in (1, 5):
+        got = S.frozen(S.fit_table(df.repartition(parts), "text"))
+        assert {**got.ends} == {**want.ends} and got.starts == want.starts and got.goes_on == want.goes_on and got.base == want.base
+    monkeypatch.setattr(S, "sample", lambda *_: pytest.fail("a sample is drawn"))
+    assert S.sentences(df).count() == sum(len(S.units(t, want)) for t in texts)
