@@ -4,8 +4,9 @@ A hidden-event n-gram language model puts boundary tokens between words. Empty l
 or before a word in small letters are none; of all other positions where a sentence may end (after a period, an ellipsis, a closed
 quotation, or at a space in scripts that have no period) the model weighs a boundary, with the next words as the start of a
 sentence, against the same words as a continuation. Forward-backward posteriors along a paragraph decide. The model learns from the
-starts and ends of paragraphs and, by expectation maximisation, from its own posteriors, on all texts: equal runs of places are counted
-once, and each round is a sum over the counted runs. Words of few places are known by their shape only, so the model stays small.
+starts and ends of paragraphs and, by expectation maximisation, from its own posteriors, on all texts. Words of few places are known by
+their shape only, so the model stays small, and runs of places that look the same to it are counted once: each round is a sum over them.
+Each text is read once: what it teaches and where its units may end come from the same pass, and only these places are kept for the end.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import json
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +40,16 @@ LAST_NOT_SPACE = re.compile(f"[^{SPACE}](?=[{SPACE}]*\\Z)")
 THAI = "฀-๿"
 #: Han and Kana.
 HAN = "぀-ヿ㐀-鿿豈-﫿"
+#: What may stand behind an end mark: more of them, then what closes.
+CLOSING = "[.!?…。！？।؟۔]*(?:[   ]?[»›]|[\"”’'」』）)\\]]|“(?=[\\s,.;:)]|\\Z))*"
 #: Where a unit may end: end marks with what closes behind them, or a space next to a script that puts no mark there (always in
 #: Thai; in Chinese and Japanese where a sentence carries none).
 MAY_END = re.compile(
-    "(?:\\.(?![0-9])|[!?…。！？।؟۔])[.!?…。！？।؟۔]*(?:[   ]?[»›]|[\"”’'」』）)\\]]|“(?=[\\s,.;:)]|\\Z))*"
+    "(?:\\.(?![0-9])|[!?…。！？।؟۔])" + CLOSING +
     f"|(?=[  　])(?:(?<=[{THAI}0-9%A-Za-z])(?=[  　]+[{THAI}])|(?<=[{HAN}])(?=[  　]+(?:[^\\W_]|[\"“„«「『《（(]))|(?<=[0-9%％A-Za-z])(?=[  　]+[{HAN}]))"
 )
+#: The same in texts without Han, Kana and Thai, led by one set of characters, which is found faster.
+MARK_ENDS = re.compile("[.!?…。！？।؟۔](?:(?<!\\.)|(?![0-9]))" + CLOSING)
 #: The kind of a place at a space next to Han or Kana; it has counts of its own, apart from those of Thai.
 WIDE = "\u3000"
 #: The number of a heading in Chinese or Japanese.
@@ -51,13 +58,22 @@ QUOTES = re.compile("[“”„«»「」『』\"()（）]")
 CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（"}
 CONTINUES = frozenset(",;:–—-/%&=+*·，、；：）」』”’»)]}|~")
 CLOSERS = frozenset("\"”’“'」』）)]»›")
+GOES_ON = CONTINUES | frozenset(".!?…。！？।؟")
 UNSPACED = f"{HAN}{THAI}"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 #: Letters of spaced scripts with the marks that belong to them.
 LETTER = f"(?:(?![{UNSPACED}])[^\\W\\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0970-\u097f])"
 #: A token beside a boundary: a word, a number, up to two characters of an unspaced script (four of Thai), or a sign.
-RIGHT = re.compile(f"[{THAI}]{{1,4}}|[{UNSPACED}]{{1,2}}|\\d+|{LETTER}+['’]?|[^{SPACE}]")
+RIGHT = f"[{THAI}]{{1,4}}|[{UNSPACED}]{{1,2}}|\\d+|{LETTER}+['’]?|[^{SPACE}]"
 #: The same, read backwards; letters with periods between them are one word.
-LEFT = re.compile(f"[{THAI}]{{1,4}}|[{UNSPACED}]{{1,2}}|\\d+|{LETTER}\\.{LETTER}(?:\\.{LETTER})*(?!{LETTER})|{LETTER}+|[^{SPACE}]")
+LEFT = f"[{THAI}]{{1,4}}|[{UNSPACED}]{{1,2}}|\\d+|{LETTER}\\.{LETTER}(?:\\.{LETTER})*(?!{LETTER})|{LETTER}+|[^{SPACE}]"
+TWO_RIGHT = re.compile(f"[{SPACE}]*+({RIGHT})?[{SPACE}]*+({RIGHT})?")
+TWO_LEFT = re.compile(f"\\s*+({LEFT})\\s*+({LEFT})?")
+#: The same in plain text, which is found faster.
+PLAIN_RIGHT = "[0-9]+|[A-Za-z]+'?|[^\t-\r ]"
+PLAIN_LEFT = "[0-9]+|[A-Za-z]\\.[A-Za-z](?:\\.[A-Za-z])*(?![A-Za-z])|[A-Za-z]+|[^\t-\r ]"
+TWO_PLAIN_RIGHT = re.compile(f"[\t-\r ]*+({PLAIN_RIGHT})?[\t-\r ]*+({PLAIN_RIGHT})?")
+TWO_PLAIN_LEFT = re.compile(f"\\s*+({PLAIN_LEFT})\\s*+({PLAIN_LEFT})?")
 #: Fixed value: words whose period seldom ends a sentence; each counts as a few seen cases.
 ABBREVIATIONS = """Mr Mrs Ms Dr Prof St Ft Jr Sr No Nos vs e.g i.e cf approx Approx Fig fig Sec sec Art art Exh Doc fn p pp ext Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec
 Nr Abs Hr Fr bzw z B d h u a vgl S ff Ca ca rd Gem Mio Mrd M Mme Mlle al env n annexe Sr Sra Dra D pág núm Uds Ud apdo ej mill no Co Corp Inc Ltd Bros Vol Rev excl yr Hon Gen Capt Messrs Ave""".split()
@@ -87,22 +103,20 @@ def left_tokens(text: str, end: int, start: int) -> tuple[str, str, int]:
     """(the token before end, the one before that, where the first starts); <s> at the start of a paragraph."""
     low = max(start, end - 48)
     back = text[low:end][::-1]
-    bare = back.lstrip()
-    m = LEFT.match(bare)
+    m = (TWO_PLAIN_LEFT if back.isascii() else TWO_LEFT).match(back)
     if not m:
         return "<s>", "<s>", end
-    first = end - (len(back) - len(bare)) - m.end()
-    rest = bare[m.end() :].lstrip()
-    n = LEFT.match(rest)
-    if not n:
-        return m[0][::-1], "<s>", first
-    second = n[0][::-1]
-    return m[0][::-1], "<s>" + second if low == start and n.end() == len(rest) else second, first
+    first, second = m.groups()
+    if second is None:
+        second = "<s>"
+    else:
+        second = "<s>" + second[::-1] if low == start and m.end() == end - low else second[::-1]
+    return first[::-1], second, end - m.end(1)
 
 
 def right_tokens(text: str, at: int, end: int) -> tuple[str, str]:
-    got = RIGHT.findall(text[at : min(end, at + 40)])[:2]
-    return (got + ["</s>", "</s>"])[0], (got + ["</s>", "</s>"])[1]
+    ahead = text[at : min(end, at + 40)]
+    return (TWO_PLAIN_RIGHT if ahead.isascii() else TWO_RIGHT).match(ahead).groups("</s>")
 
 
 def held(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -134,13 +148,34 @@ def held(text: str, start: int, end: int) -> list[tuple[int, int]]:
 NO, ASK, YES = 0, 1, 2
 
 
-class Place:
-    """A position where a unit may end: what is known of it, and its context."""
+class Seen:
+    """What texts teach: how often they have each run of places, each pair of edges of a paragraph, and each word beside them.
 
-    __slots__ = ("at", "verdict", "mark", "l1", "l2", "r1", "r2", "near")
+    A place whose context holds no earlier one starts a run; what is before it has no part in its posterior.
+    """
 
-    def __init__(self, at, verdict, mark, l1, l2, r1, r2, near):
-        self.at, self.verdict, self.mark, self.l1, self.l2, self.r1, self.r2, self.near = at, verdict, mark, l1, l2, r1, r2, near
+    def __init__(self) -> None:
+        self.texts, self.counts = 0, {kind: Counter() for kind in ("run", "edge", "left", "right", "begin", "chunk")}
+        self.new: dict[str, list[str]] = {kind: [] for kind in self.counts}
+
+    def settle(self) -> int:
+        """Count what is new; the number of different items."""
+        for kind, items in self.new.items():
+            self.counts[kind].update(items)
+            items.clear()
+        return sum(map(len, self.counts.values()))
+
+    def items(self) -> Iterator[tuple[str, str, int]]:
+        """(kind, item, how often), with the words that stand without a period behind them in place of the chunks between spaces."""
+        self.settle()
+        bare: Counter = Counter()
+        for chunk, n in self.counts["chunk"].items():
+            for w in BARE_WORD.findall(chunk):
+                bare[w] += n
+        yield "text", "", self.texts
+        for kind, counts in (self.counts | {"chunk": bare}).items():
+            for item, n in counts.items():
+                yield "bare" if kind == "chunk" else kind, item, n
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -157,15 +192,23 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = b
 
 
-def places(text: str, start: int, end: int, full: bool = False) -> list[Place]:
-    """The places of one paragraph; its own end is none of them. full: those that are already decided have a context, too."""
-    out: list[Place] = []
+def places(text: str, start: int, end: int, may_end: re.Pattern, seen: Seen | None = None) -> list[tuple[int, int, int, str, bool]]:
+    """(end of the unit, start of the next, verdict, context, near) of each place of one paragraph; its own end is none of them.
+
+    A context is written as kind, two tokens to the left, two to the right, by tabs. Only places for the model have one, and only they
+    may be near, that is hold the place before in their context. seen learns of all places, also those where a text just goes on:
+    without the tokens to the right where there is no boundary, and with a tab behind where there is one.
+    """
+    out: list[tuple[int, int, int, str, bool]] = []
     spans = None
-    for m in MAY_END.finditer(text, start, end):
+    run, last = "", -9
+    if seen is not None:
+        to_left, to_right, to_runs = (seen.new[kind].append for kind in ("left", "right", "run"))
+    for m in may_end.finditer(text, start, end):
         a, b = m.span()
         if b >= end:
             break
-        mark = m[0]
+        mark = text[a:b]
         nxt = text[b]
         if mark and not nxt.isspace():
             c = text[b - 1]
@@ -180,44 +223,128 @@ def places(text: str, start: int, end: int, full: bool = False) -> list[Place]:
                 continue
             at = b
         else:
-            f = NOT_SPACE.search(text, b, end)
-            if not f:
-                break
-            at, nxt = f.start(), f[0]
+            at = b + 1
+            if at >= end or nxt != " " or text[at].isspace():
+                f = NOT_SPACE.search(text, b, end)
+                if not f:
+                    break
+                at = f.start()
+            nxt = text[at]
         verdict, closed = ASK, mark[-1:] in CLOSERS
-        camel = nxt.islower() and text[at + 1 : at + 2].isupper()
-        upper = nxt.isupper() or camel
-        if nxt in CONTINUES or nxt in ".!?…。！？।؟" or nxt.islower() and not camel:
-            verdict = NO
-            if not full:
+        low = nxt.islower()
+        camel = low and text[at + 1 : at + 2].isupper()
+        goes_on = nxt in GOES_ON or low and not camel
+        if goes_on:
+            if seen is None:
                 continue
+            verdict = NO
         else:
             if spans is None:
                 spans = held(text, start, end)
             if spans and any(x < a and b <= y for x, y in spans):
                 continue
+            upper = camel or nxt.isupper()
             if nxt in "(（" and not _whole_bracket(text, at, spans):
                 verdict = NO
             elif mark and mark[0] in "!?。！？।؟۔" and (not closed or upper) or closed and upper:
                 verdict = YES
             elif mark == "." and (text[a - 1] in CLOSERS and upper or nxt in "\"“„«" and text[at + 1 : at + 3].strip()[:1].isupper()):
                 verdict = YES
-        if verdict != ASK and not full:
-            out.append(Place(b, verdict, "", "", "", "", "", False))
+        if verdict != ASK and seen is None:
+            out.append((b, at, verdict, "", False))
             continue
         l1, l2, began = left_tokens(text, a, start)
         r1, r2 = right_tokens(text, at, end)
-        if mark == "." and len(l1) < 3 and l1.isdigit() and l2[:3] == "<s>":
-            verdict = NO  # the number of a heading
-        elif verdict == YES and mark == "." and (l1 in KNOWN_ABBREVIATIONS or len(l1) == 1 and l1.isalpha()):
-            verdict = ASK
-        elif not mark and NUMBERED.fullmatch(text, start, a):
-            verdict = NO
-        kind = (mark[0] if mark else " " if "\u0e00" <= nxt <= "\u0e7f" else WIDE) + ("”" if closed else "") if "…" not in mark and ".." not in mark else "…"
-        out.append(Place(b, verdict, kind, l1, l2, r1, r2, bool(out) and began <= out[-1].at + 2))
+        taught = verdict
+        if mark == ".":
+            kind = mark
+            if len(l1) < 3 and l1.isdigit() and l2[:3] == "<s>":
+                taught = NO  # the number of a heading
+            elif verdict == YES and (l1 in KNOWN_ABBREVIATIONS or len(l1) == 1 and l1.isalpha()):
+                taught = ASK
+        elif mark:
+            kind = "…" if "…" in mark or ".." in mark else mark[0] + "”" if closed else mark[0]
+        else:
+            kind = " " if "\u0e00" <= nxt <= "\u0e7f" else WIDE
+            if NUMBERED.fullmatch(text, start, a):
+                taught = NO
+        context = f"{kind}\t{l1}\t{l2}\t{r1}\t{r2}"
+        if seen is not None:
+            to_left(l1)
+            to_right(r1)
+            told = context if taught == ASK else context + "\t" if taught == YES else f"{kind}\t{l1}\t{l2}"
+            if run and began <= last + 2:
+                run += "\n" + told
+            else:
+                if run:
+                    to_runs(run)
+                run = told
+            last = b
+        if verdict != ASK or taught == NO:
+            if not goes_on:
+                out.append((b, at, verdict if verdict != ASK else NO, "", False))
+        else:
+            out.append((b, at, ASK, context, bool(out) and began <= out[-1][0] + 2))
+    if run:
+        to_runs(run)
     return out
 
 
+def tail(text: str, start: int, end: int) -> tuple[str, str, str] | None:
+    """(the last two tokens of a paragraph, its kind of end), or None for a heading."""
+    m = MAY_END.search(text, max(start, end - 8), end)
+    if m and m[0] and m.end() == end:
+        return *left_tokens(text, m.start(), start)[:2], (m[0][0] + ("”" if m[0][-1] in CLOSERS else "")) if "…" not in m[0] else "…"
+    if THAI_END.search(text, max(start, end - 16), end) and end - start > 15:
+        return *left_tokens(text, end, start)[:2], " "
+    if HAN_END.match(text, end - 1) and end - start > 15:
+        return *left_tokens(text, end, start)[:2], WIDE
+    return None
+
+
+def pieces(text: str, seen: Seen | None = None) -> tuple[list[int], list[int], list[str]]:
+    """(starts, ends, runs) of the pieces between the places where units end or may end.
+
+    The end is inverted (~) where the model decides. runs are the runs of places that hold such ones in their order, by lines: a
+    context, or the verdict of a place that is already decided.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    runs: list[str] = []
+    may_end = MARK_ENDS if text.isascii() or not HAS_UNSPACED.search(text) else MAY_END
+    if seen is not None:
+        seen.texts += 1
+        seen.new["chunk"] += text.split()
+    for start, end in paragraphs(text):
+        starts.append(start)
+        run, asked = "", False
+        for b, at, verdict, context, near in places(text, start, end, may_end, seen):
+            if near:
+                run += "\n" + context
+            else:
+                if asked:
+                    runs.append(run)
+                run, asked = context or str(verdict), False
+            if verdict == ASK:
+                asked = True
+                ends.append(~b)
+                starts.append(at)
+            elif verdict == YES:
+                ends.append(b)
+                starts.append(at)
+        if asked:
+            runs.append(run)
+        ends.append(end)
+        # a heading is no sentence: only a paragraph with an end mark shows how sentences start
+        if seen is not None and (got := tail(text, start, end)):
+            r1, r2 = right_tokens(text, start, end)
+            seen.new["edge"].append("\t".join((r1, r2, *got)))
+            seen.new["left"].append(got[0])
+            seen.new["right"].append(r1)
+            seen.new["begin"].append(r1)
+    return starts, ends, runs
+
+
 def _unspaced(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "฀" <= c <= "๿" or c in "「『“（《"
 
@@ -228,6 +355,26 @@ def _whole_bracket(text: str, at: int, spans: list[tuple[int, int]]) -> bool:
     return close is not None and text[close - 1] in ".!?。！？…" and text[at + 1 : at + 2].isupper()
 
 
+class Place(NamedTuple):
+    """A place as the model sees it: words that are not known are shapes. A place that is sure counts as decided."""
+
+    verdict: int
+    near: bool
+    guess: float | None
+    kind: str
+    form: str
+    l1: str
+    l2: str
+    r1: str
+    r2: str
+    of: str
+    kana: bool
+
+
+#: A decided place before a run.
+BEGUN = Place(YES, False, None, "", "", "", "", "", "", "", False)
+
+
 class BoundaryModel:
     """Counts of the hidden-event model, and the odds that they give."""
 
@@ -249,18 +396,47 @@ class BoundaryModel:
     def right(self, w: str) -> str:
         return w if w in self.known_right or w == "</s>" else shape(w)
 
-    def sure(self, p: Place) -> bool:
+    def sure(self, kind: str, w: str) -> bool:
         """Whether a period ends a sentence whatever follows: behind a year, a whole word or a word too long to be cut short."""
-        w = p.l1
-        if p.mark != "." or w in KNOWN_ABBREVIATIONS:
+        if kind != "." or w in KNOWN_ABBREVIATIONS:
             return False
         return w in self.whole or (len(w) > 4 and w.isalpha()) or (len(w) == 4 and w[:2] in ("19", "20") and w.isdigit())
 
+    def place(self, context: str, near: bool, guess: Callable[[int, str, str, str], float | None] | None = None) -> Place:
+        """A context as places and pieces write it, by what is known of its words; guess gives its first weight."""
+        got = context.split("\t")
+        if len(got) == 1:
+            return BEGUN._replace(verdict=int(context), near=near)
+        kind, l1, l2 = got[:3]
+        verdict = ASK if len(got) == 5 else YES if len(got) == 6 else NO
+        first = guess(verdict, kind, l1, got[3] if verdict != NO else "") if guess else None
+        if verdict == NO:
+            return Place(NO, near, first, kind, shape(l1), self.left(l1), self.left(l2), "", "", "", False)
+        r1, r2 = got[3:5]
+        if verdict == ASK and self.sure(kind, l1):
+            verdict = YES
+        return Place(verdict, near, first, kind, shape(l1), self.left(l1), self.left(l2), self.right(r1), self.right(r2), script(r1), "ぁ" <= l1[-1] <= "ん")
+
+    def add(self, table: str, key, no: int, yes: int) -> None:
+        if table == "ends":
+            self.ends[key][0] += no
+            self.ends[key][1] += yes
+        else:
+            getattr(self, table)[key] += yes
+
+    def sums(self) -> Iterator[tuple[str, object, int, int]]:
+        """What add takes: (table, key, without a boundary, with one); other tables than ends have one number."""
+        for key, (no, yes) in self.ends.items():
+            yield "ends", key, no, yes
+        for table in ("starts", "goes_on", "goes_on_all"):
+            for key, n in getattr(self, table).items():
+                yield table, key, 0, n
+
     def contexts(self, p: Place, fresh: bool) -> tuple:
-        l1, l2 = self.left(p.l1), "<s>" if fresh else self.left(p.l2)
-        if p.mark == WIDE:  # most spaces beside Han are no boundary: only the words before them show one
-            return (p.mark, l1), (p.mark, l1, l2)
-        return (p.mark,), (p.mark, shape(p.l1)), (p.mark, l1), (p.mark, l1, l2)
+        l2 = "<s>" if fresh else p.l2
+        if p.kind == WIDE:  # most spaces beside Han are no boundary: only the words before them show one
+            return (p.kind, p.l1), (p.kind, p.l1, l2)
+        return (p.kind,), (p.kind, p.form), (p.kind, p.l1), (p.kind, p.l1, l2)
 
     def note(self, p: Place, weight: float, n: int = 1) -> None:
         """Count n places that are boundaries with some weight, in parts of UNIT."""
@@ -270,57 +446,65 @@ class BoundaryModel:
             self.ends[c][1] += yes
             self.ends[c][0] += no
         if p.verdict != NO:
-            self.note_start(p.r1, p.r2, yes)
-            r1, l1, of = self.right(p.r1), self.left(p.l1), script(p.r1)
-            for key in ((p.mark, of, r1), (p.mark, of, l1, r1)):
-                self.goes_on[key] += no
-            for key in ((p.mark, of), (p.mark, of, l1)):
-                self.goes_on_all[key] += no
-
-    def note_start(self, r1: str, r2: str, weight: float) -> None:
-        a, b = self.right(r1), self.right(r2)
+            if yes:
+                self.note_start(p.r1, p.r2, p.of, yes)
+            if no:
+                for key in ((p.kind, p.of, p.r1), (p.kind, p.of, p.l1, p.r1)):
+                    self.goes_on[key] += no
+                for key in ((p.kind, p.of), (p.kind, p.of, p.l1)):
+                    self.goes_on_all[key] += no
+
+    def note_start(self, a: str, b: str, of: str, weight: float) -> None:
         self.starts[(a, b)] += weight
         self.starts[a] += weight
-        self.starts["", script(r1)] += weight
+        self.starts["", of] += weight
 
-    def note_end(self, l1: str, l2: str, mark: str, weight: float) -> None:
-        for c in ((mark,), (mark, shape(l1)), (mark, self.left(l1)), (mark, self.left(l1), self.left(l2))):
+    def note_end(self, form: str, l1: str, l2: str, kind: str, weight: float) -> None:
+        for c in ((kind,), (kind, form), (kind, l1), (kind, l1, l2)):
             self.ends[c][1] += weight
 
     def chance(self, p: Place, fresh: bool = False) -> tuple[float, float]:
         """(weight of no boundary, weight of a boundary) at a place, its next words included."""
-        key = (p.mark, p.l1, p.l2, p.r1, p.r2, fresh)
+        key = (*p[3:], fresh)
         if (hit := self.cache.get(key)) is not None:
             return hit
-        end = 0.97 if p.mark == " " else 0.5
-        if p.mark == WIDE:
+        end = 0.97 if p.kind == " " else 0.5
+        if p.kind == WIDE:
             # an inflected Japanese word that stands before end marks may end a sentence that carries none
-            marked = self.ends.get(("。", self.left(p.l1)), (0, 0))
-            end = 0.6 if marked[1] >= 2 and "ぁ" <= p.l1[-1] <= "ん" else 0.3
+            marked = self.ends.get(("。", p.l1), (0, 0))
+            end = 0.6 if marked[1] >= 2 and p.kana else 0.3
         for c in self.contexts(p, fresh):
             n = self.ends.get(c)
             if n:
                 end = (n[1] + 2 * end) / (n[0] + n[1] + 2)
         # next words compete within their script, so that a rare script is not outvoted
-        a, b, l1, of = self.right(p.r1), self.right(p.r2), self.left(p.l1), script(p.r1)
+        a, b, l1, of = p.r1, p.r2, p.l1, p.of
         base = (self.base[a] + 0.5) / (self.base["", of] + 50)
         start = (self.starts[a] + 5 * base) / (self.starts["", of] + 5)
         start = 0.5 * start + 0.5 * start * ((self.starts[(a, b)] + 1) / (self.starts[a] + 1))
-        on = (self.goes_on.get((p.mark, of, a), 0) + 5 * base) / (self.goes_on_all.get((p.mark, of), 0) + 5)
-        on = (self.goes_on.get((p.mark, of, l1, a), 0) + 3 * on) / (self.goes_on_all.get((p.mark, of, l1), 0) + 3)
-        if p.mark == WIDE and of == "L":  # a name or number beside Han is not counted with the words of Latin texts
+        on = (self.goes_on.get((p.kind, of, a), 0) + 5 * base) / (self.goes_on_all.get((p.kind, of), 0) + 5)
+        on = (self.goes_on.get((p.kind, of, l1, a), 0) + 3 * on) / (self.goes_on_all.get((p.kind, of, l1), 0) + 3)
+        if p.kind == WIDE and of == "L":  # a name or number beside Han is not counted with the words of Latin texts
             on, start = 1.0, 0.5
         out = ((1 - end) * on, end * start)
         if len(self.cache) < 200_000:
             self.cache[key] = out
         return out
 
+    def decided(self, run: str) -> list[bool]:
+        """Whether a unit ends at each place of a run that is left to the model."""
+        contexts = run.split("\n")
+        if len(contexts) == 1 and self.sure(*run.split("\t", 2)[:2]):
+            return [True]
+        chain = [self.place(c, i > 0) for i, c in enumerate(contexts)]
+        return [w > 0.5 for c, w in zip(contexts, self.posteriors(chain)) if len(c) > 1]
+
     def posteriors(self, chain: list[Place]) -> list[float]:
         """The chance of a boundary at each place of a paragraph, by forward and backward sums over its chain."""
         n = len(chain)
         move = []
         for p in chain:
-            if p.verdict == YES or p.verdict == ASK and self.sure(p):
+            if p.verdict == YES:
                 rows = ((0.0, 1.0), (0.0, 1.0))
             elif p.verdict == NO:
                 rows = ((1.0, 0.0), (1.0, 0.0))
@@ -345,53 +529,6 @@ class BoundaryModel:
         return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(fore, back)]
 
 
-def tallied(texts: Iterable[str]) -> Counter:
-    """How often the texts have each ("run", places), ("edge", (how a paragraph starts, how it ends)) and ("bare", word).
-
-    A place whose context holds no earlier one starts a run; what is before it has no part in its posterior.
-    """
-    out: Counter = Counter()
-    for text in texts:
-        out.update(("bare", w) for w in BARE_WORD.findall(text))
-        for start, end in paragraphs(text):
-            run: list[tuple] = []
-            for p in places(text, start, end, full=True):
-                if run and not p.near:
-                    out["run", tuple(run)] += 1
-                    run = []
-                run.append((p.verdict, p.mark, p.l1, p.l2, p.r1, p.r2, p.near))
-            if run:
-                out["run", tuple(run)] += 1
-            m = MAY_END.search(text, max(start, end - 8), end)
-            if m and m[0] and m.end() == end:
-                l1, l2, _ = left_tokens(text, m.start(), start)
-                closed = m[0][-1] in CLOSERS
-                tail = (l1, l2, (m[0][0] + ("”" if closed else "")) if "…" not in m[0] else "…")
-            elif THAI_END.search(text, max(start, end - 16), end) and len(text[start:end]) > 15:
-                l1, l2, _ = left_tokens(text, end, start)
-                tail = (l1, l2, " ")
-            elif HAN_END.match(text, end - 1) and end - start > 15:
-                l1, l2, _ = left_tokens(text, end, start)
-                tail = (l1, l2, WIDE)
-            else:
-                continue
-            # a heading is no sentence: only a paragraph with an end mark shows how sentences start
-            out["edge", (right_tokens(text, start, end), tail)] += 1
-    return out
-
-
-def words_in(kind: str, item) -> Iterator[tuple[str, str]]:
-    """(side, word): "l" left of a place, "r" right of it, "b" at the beginning of a paragraph, "w" without a period."""
-    if kind == "run":
-        for place in item:
-            yield "l", place[2]
-            yield "r", place[4]
-    elif kind == "edge":
-        yield from (("l", item[1][0]), ("r", item[0][0]), ("b", item[0][0]))
-    else:
-        yield "w", item
-
-
 def at_least(n: int, texts: int) -> int:
     return max(n, math.ceil(n * texts / PER))
 
@@ -420,24 +557,72 @@ class Rules:
         model.known_left, model.known_right, model.whole, model.base = self.known_left, self.known_right, self.whole, self.base
         return model
 
-    def first_guess(self, p: Place) -> float | None:
-        if p.verdict != ASK:
-            return float(p.verdict == YES)
-        if p.mark == ".":
-            return 1.0 if p.r1 in self.starter else 0.0 if p.l1 in KNOWN_ABBREVIATIONS else 0.9 if p.l1 in self.whole else None
-        return 0.8 if p.mark == " " else None
+    def start(self, fixed: dict[str, BoundaryModel], model: BoundaryModel | None) -> BoundaryModel:
+        """A round's sums of what is decided."""
+        out = self.blank()
+        for when in ("always", "later" if model else "first"):
+            for row in fixed[when].sums():
+                out.add(*row)
+        return out
 
-    def count(self, new: BoundaryModel, counts: Iterable[tuple[str, tuple, int]], model: BoundaryModel | None) -> None:
-        """Count runs and edges: paragraph edges are sure, other places count by their posteriors of the round before."""
+    def guess(self, verdict: int, kind: str, l1: str, r1: str) -> float | None:
+        if verdict != ASK:
+            return float(verdict == YES)
+        if kind == ".":
+            return 1.0 if r1 in self.starter else 0.0 if l1 in KNOWN_ABBREVIATIONS else 0.9 if l1 in self.whole else None
+        return 0.8 if kind == " " else None
+
+    def alike(self, counts: Iterable[tuple[str, str, int]]) -> Counter:
+        """("run", places of the model), ("place", one that is decided) and ("edge", how a paragraph starts and ends) by what is known of
+        their words, with the sum of their counts. What is before a decided place has no part in what is behind it, so runs end there."""
+        out: Counter = Counter()
+        model = self.blank()
+        known: dict = {}
         for kind, item, n in counts:
             if kind == "edge":
-                new.note_start(*item[0], n * UNIT)
-                new.note_end(*item[1], n * UNIT)
-            elif kind == "run":
-                chain = [Place(0, *place) for place in item]
-                for p, w in zip(chain, model.posteriors(chain) if model else map(self.first_guess, chain)):
-                    if w is not None:
-                        new.note(p, w, n)
+                r1, r2, l1, l2, ends = item.split("\t")
+                out["edge", ((model.right(r1), model.right(r2), script(r1)), (shape(l1), model.left(l1), model.left(l2), ends))] += n
+                continue
+            chain: list[Place] = []
+            for i, context in enumerate(item.split("\n")):
+                if (p := known.get((context, i > 0))) is None:
+                    p = model.place(context, i > 0, self.guess)
+                    if len(known) < 200_000:
+                        known[context, i > 0] = p
+                if p.verdict == ASK:
+                    chain.append(p)
+                    continue
+                out["place", p] += n
+                if chain and chain[-1].verdict == ASK:
+                    out["run", tuple(chain)] += n
+                chain = [BEGUN] if p.verdict == YES else []
+            if chain and chain[-1].verdict == ASK:
+                out["run", tuple(chain)] += n
+        return out
+
+    def fixed(self, alike: Counter) -> dict[str, BoundaryModel]:
+        """The sums of what is decided, those of "always", and those of the "first" round and of "later" ones only."""
+        sums = {when: self.blank() for when in ("always", "first", "later")}
+        for (kind, item), n in alike.items():
+            if kind == "edge":
+                sums["always"].note_start(*item[0], n * UNIT)
+                sums["always"].note_end(*item[1], n * UNIT)
+            elif kind == "place":
+                last = float(item.verdict == YES)
+                if item.guess == last:
+                    sums["always"].note(item, last, n)
+                    continue
+                sums["later"].note(item, last, n)
+                if item.guess is not None:
+                    sums["first"].note(item, item.guess, n)
+        return sums
+
+    def count(self, new: BoundaryModel, runs: Iterable[tuple[tuple[Place, ...], int]], model: BoundaryModel | None) -> None:
+        """Count the places of the model in runs by their posteriors of the round before."""
+        for run, n in runs:
+            for p, w in zip(run, model.posteriors(run) if model else (p.guess for p in run)):
+                if w is not None and p.verdict == ASK:
+                    new.note(p, w, n)
 
     def model(self, counted: BoundaryModel) -> BoundaryModel:
         """The model of what was counted, and of the fixed abbreviations."""
@@ -455,21 +640,24 @@ class Rules:
 
 def fit(texts: Iterable[str], rounds: int = ROUNDS) -> BoundaryModel:
     """The model of some texts, in one process."""
-    texts = list(texts)
-    counts = tallied(texts)
-    of: dict[str, Counter] = {side: Counter() for side in "lrbw"}
-    for (kind, item), n in counts.items():
-        for side, w in words_in(kind, item):
-            of[side][w] += n
-    least, begins, bare = (at_least(n, len(texts)) for n in (KNOWN, BEGINS, BARE))
-    known = [{w for w, n in of[side].items() if n >= least} for side in "lr"]
-    base = based((w if w in known[1] else shape(w), script(w), n) for w, n in of["r"].items())
-    whole = {w for w, n in of["w"].items() if n >= bare and n * 20 >= of["l"][w]}
-    rules = Rules(*known, whole, set(of["l"]), {w for w, n in of["b"].items() if n >= begins}, base)
+    seen = Seen()
+    for text in texts:
+        pieces(text, seen)
+    of: dict[str, Counter] = defaultdict(Counter)
+    for kind, item, n in seen.items():
+        of[kind][item] = n
+    least, begins, bare = (at_least(n, seen.texts) for n in (KNOWN, BEGINS, BARE))
+    known = [{w for w, n in of[side].items() if n >= least} for side in ("left", "right")]
+    base = based((w if w in known[1] else shape(w), script(w), n) for w, n in of["right"].items())
+    whole = {w for w, n in of["bare"].items() if n >= bare and n * 20 >= of["left"][w]}
+    rules = Rules(*known, whole, set(of["left"]), {w for w, n in of["begin"].items() if n >= begins}, base)
+    alike = rules.alike((kind, item, n) for kind in ("run", "edge") for item, n in of[kind].items())
+    fixed = rules.fixed(alike)
+    runs = [(item, n) for (kind, item), n in alike.items() if kind == "run"]
     model = None
     for _ in range(rounds):
-        counted = rules.blank()
-        rules.count(counted, ((kind, item, n) for (kind, item), n in counts.items()), model)
+        counted = rules.start(fixed, model)
+        rules.count(counted, runs, model)
         model = rules.model(counted)
     return model
 
@@ -483,53 +671,110 @@ def unpacked(key: str):
     return tuples(json.loads(key))
 
 
-def fit_table(df: DataFrame, text: str, rounds: int = ROUNDS) -> BoundaryModel:
-    """The model of all texts of a table, the same as that of fit; the driver gets the words that count and the sums of each round."""
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 2_000):
-                rows = [(kind, packed(item), n) for (kind, item), n in tallied(batch["t"][a : a + 2_000]).items()]
-                yield pd.DataFrame([("text", "", len(batch["t"][a : a + 2_000])), *rows], columns=["kind", "item", "n"])
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def batches_of(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+COUNTS = pa.schema([("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())])
+SUM_ROWS = "t string, key string, no bigint, yes bigint"
+SUMS = pa.schema([("t", pa.string()), ("key", pa.string()), ("no", pa.int64()), ("yes", pa.int64())])
+
+
+def read(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Each text in pieces (kind null), and what the texts teach (kind, item, n), in one pass; equal items may come several times.
+
+    The pieces are kept in the shared folder of checkpoints, so that no text is read twice.
+    """
+    pairs = spread(df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys = Seen(), pa.null()
+        schema = lambda: pa.schema([("key", keys), ("starts", ints), ("ends", ints), ("runs", strings), *COUNTS])
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for b in batches_of(seen.items(), COUNTS):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), f.type) for f in list(schema())[:4]] + b.columns, schema=schema())
+
         for batch in batches:
-            got: Counter = Counter()
-            for kind, item, n in batch.itertuples(index=False):
-                for side, w in words_in(kind, unpacked(item)):
-                    got[side, w, shape(w) if side == "r" else "", script(w) if side == "r" else ""] += n
-            yield pd.DataFrame([(*key, n) for key, n in got.items()], columns=["side", "word", "shape", "script", "n"])
-
-    tallies = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(tally, "kind string, item string, n bigint")
-    counts = cut(tallies.groupBy("kind", "item").agg(F.sum("n").alias("n")))
-    texts = counts.where("kind = 'text'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    said = counts.where("kind <> 'text'").mapInPandas(words, "side string, word string, shape string, script string, n bigint")
-    said = cut(said.groupBy("side", "word", "shape", "script").agg(F.sum("n").alias("n")))
+            keys = batch.column(0).type
+            for part in (batch.slice(a, 1_000) for a in range(0, len(batch), 1_000)):
+                got = [pieces(t, seen) for t in part.column(1).to_pylist()]
+                lists = [pa.array([g[i] for g in got], t) for i, t in enumerate((ints, ints, strings))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists] + [pa.nulls(len(part), f.type) for f in COUNTS], schema=schema())
+                if seen.settle() > 400_000:  # the counts of a task stay bounded
+                    yield from told()
+                    seen = Seen()
+        if seen.texts:
+            yield from told()
+
+    kind = df.schema[key].dataType.simpleString()
+    return cut(pairs.mapInArrow(run, f"key {kind}, starts array<int>, ends array<int>, runs array<string>, kind string, item string, n bigint"))
+
+
+def fit_table(df: DataFrame, text: str, rounds: int = ROUNDS) -> BoundaryModel:
+    """The model of all texts of a table, the same as that of fit."""
+    return fit_read(read(df.select(F.lit(0).alias("key"), text), "key", text), rounds)
+
+
+def fit_read(told: DataFrame, rounds: int = ROUNDS) -> BoundaryModel:
+    """The model of what read gives; the driver gets the words that count and the sums of each round."""
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, rows = sent.value[0], rows_of(batches)
+        while part := list(islice(rows, 200_000)):
+            alike = rules.alike(part)
+            yield from batches_of((("run", packed(item), n, 0) for (kind, item), n in alike.items() if kind == "run"), SUMS)
+            for when, sums in rules.fixed(alike).items():
+                yield from batches_of(((f"{when} {t}", packed(key), no, yes) for t, key, no, yes in sums.sums()), SUMS)
+
+    counts = told.where("kind IS NOT NULL").select("kind", "item", "n")
+    said = cut(counts.where("kind NOT IN ('run', 'edge')").groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    of = lambda kind: said.where(F.col("kind") == kind).select(F.col("item").alias("word"), "n")
+    texts = of("text").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least, begins, bare = (at_least(n, texts) for n in (KNOWN, BEGINS, BARE))
-    of = lambda side: said.where(F.col("side") == side)
-    names = lambda rows: {r["word"] for r in rows.select("word").collect()}
-    right = of("r").groupBy(F.when(F.col("n") >= least, F.col("word")).otherwise(F.col("shape")).alias("word"), "script").agg(F.sum("n").alias("n"))
-    whole = names(of("w").join(of("l").select("word", F.col("n").alias("left")), "word").where(f"n >= {bare} AND n * 20 >= left"))
-    rules = Rules(names(of("l").where(F.col("n") >= least)), names(of("r").where(F.col("n") >= least)), whole, whole, names(of("b").where(F.col("n") >= begins)), based(map(tuple, right.collect())))
-    context, model = df.sparkSession.sparkContext, None
-    tables = ("ends", "starts", "goes_on", "goes_on_all")
+    names = lambda rows: set(rows.select("word").toArrow()["word"].to_pylist())
+    known = names(of("right").where(F.col("n") >= least))
+    whole = names(of("bare").join(of("left").withColumnRenamed("n", "left"), "word").where(f"n >= {bare} AND n * 20 >= left"))
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: Counter = Counter()
+        for w, n in rows_of(batches):
+            got[w if w in known else shape(w), script(w)] += n
+        yield from batches_of(((*key, n) for key, n in got.items()), pa.schema([("word", pa.string()), ("script", pa.string()), ("n", pa.int64())]))
+
+    right = of("right").mapInArrow(bases, "word string, script string, n bigint").groupBy("word", "script").agg(F.sum("n").alias("n"))
+    rules = Rules(names(of("left").where(F.col("n") >= least)), known, whole, whole, names(of("begin").where(F.col("n") >= begins)), based(rows_of(right.toArrow().to_batches())))
+    context, model = told.sparkSession.sparkContext, None
+    sent = context.broadcast((rules, None))
+    summed = lambda rows: rows.groupBy("t", "key").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    alike = cut(summed(counts.where("kind IN ('run', 'edge')").mapInArrow(reduced, SUM_ROWS)))
+    fixed = {when: rules.blank() for when in ("always", "first", "later")}
+    for t, key, no, yes in rows_of(alike.where("t <> 'run'").toArrow().to_batches()):
+        when, table = t.split()
+        fixed[when].add(table, unpacked(key), no, yes)
+    runs = alike.where("t = 'run'").select("key", "no")
     for _ in range(rounds):
-        sent = context.broadcast((rules, model and frozen(model)))
 
-        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             rules, model = sent.value
             counted = rules.blank()
-            for batch in batches:
-                rules.count(counted, ((kind, unpacked(item), n) for kind, item, n in batch.itertuples(index=False)), model)
-            rows = [(t, packed(key), *(n if t == "ends" else (0, n))) for t in tables for key, n in getattr(counted, t).items()]
-            yield pd.DataFrame(rows, columns=["t", "key", "no", "yes"]).astype({"no": "int64", "yes": "int64"})
-
-        counted = rules.blank()
-        sums = counts.where("kind IN ('run', 'edge')").mapInPandas(count, "t string, key string, no bigint, yes bigint").groupBy("t", "key")
-        for r in sums.agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).toLocalIterator():
-            getattr(counted, r["t"])[unpacked(r["key"])] = [r["no"], r["yes"]] if r["t"] == "ends" else r["yes"]
+            rules.count(counted, ((tuple(Place(*p) for p in json.loads(run)), n) for run, n in rows_of(batches)), model)
+            yield from batches_of(((t, packed(key), no, yes) for t, key, no, yes in counted.sums()), SUMS)
+
+        counted = rules.start(fixed, model)
+        for t, key, no, yes in rows_of(summed(runs.mapInArrow(count, SUM_ROWS)).toArrow().to_batches()):
+            counted.add(t, unpacked(key), no, yes)
         model = rules.model(counted)
         sent.unpersist()
+        sent = context.broadcast((rules, frozen(model)))
     return model
 
 
@@ -541,19 +786,19 @@ HAN_END = re.compile(f"[{HAN}]")
 
 def units(text: str | None, model: BoundaryModel) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points."""
-    out: list[tuple[int, int]] = []
     if not text:
-        return out
-    for start, end in paragraphs(text):
-        chain = places(text, start, end)
-        at = start
-        if chain:
-            for p, w in zip(chain, model.posteriors(chain)):
-                if w > 0.5:
-                    out.append((at, p.at))
-                    at = NOT_SPACE.search(text, p.at, end).start()
-        out.append((at, end))
-    return out
+        return []
+    starts, ends, runs = pieces(text)
+    at, to = joined(np.array(starts, np.int32), np.array(ends, np.int32), [w for r in runs for w in model.decided(r)])[:2]
+    return list(zip(at.tolist(), to.tolist()))
+
+
+def joined(starts: np.ndarray, ends: np.ndarray, decided: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of the units that pieces make, and whether each piece ends one; the last piece of a text always does."""
+    ends_unit = ends >= 0
+    ends = np.where(ends_unit, ends, ~ends)
+    ends_unit[~ends_unit] = decided
+    return starts[np.concatenate(([True], ends_unit[:-1]))] if len(starts) else starts, ends[ends_unit], ends_unit
 
 
 def sample(df: DataFrame, key: str, text: str, docs: int) -> list[str]:
@@ -580,19 +825,27 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int
     """(key, sent_start, sent_end): the sentence units of each text by offsets in code points, the end exclusive.
 
     Null, empty and blank texts have no unit; repeated rows have theirs each; other columns are not read. The model is fitted on all
-    texts, or on a sample of docs texts where a caller asks for one, and every text is then segmented whole, without a shuffle.
+    texts, or on a sample of docs texts where a caller asks for one; every text is read once and segmented whole, without a shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(frozen(fit_table(df, text, rounds) if docs is None else fit(sample(df, key, text, docs), rounds)))
+    told = read(df, key, text)
+    sent = df.sparkSession.sparkContext.broadcast(frozen(fit_read(told, rounds) if docs is None else fit(sample(df, key, text, docs), rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, known = sent.value, {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spans = [units(t, model) for t in texts]
-            at = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-            flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["key", "sent_start", "sent_end"])
-
-    pairs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    return pairs.mapInArrow(run, f"key {kind}, sent_start int, sent_end int").withColumnRenamed("key", key)
+            starts, ends, runs = (batch.column(i).flatten() for i in (1, 2, 3))
+            coded = runs.dictionary_encode()
+            values = coded.dictionary.to_pylist()
+            for r in values:
+                if r not in known:
+                    known[r] = model.decided(r)
+            of = [known[r] for r in values]
+            at, to, ends_unit = joined(starts.to_numpy(), ends.to_numpy(), [w for i in coded.indices.to_pylist() for w in of[i]])
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())[ends_unit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at), pa.array(to)], ["key", "sent_start", "sent_end"])
+            if len(known) > 200_000:
+                known = {}
+
+    found = told.where("kind IS NULL").select("key", "starts", "ends", "runs")
+    return found.mapInArrow(run, f"key {kind}, sent_start int, sent_end int").withColumnRenamed("key", key)

@@ -85,3 +85,19 @@ def test_all_texts_teach(spark, monkeypatch):
         assert {**got.ends} == {**want.ends} and got.starts == want.starts and got.goes_on == want.goes_on and got.base == want.base
     monkeypatch.setattr(S, "sample", lambda *_: pytest.fail("a sample is drawn"))
     assert S.sentences(df).count() == sum(len(S.units(t, want)) for t in texts)
+
+
+def test_each_text_is_read_once(spark, model):
+    """Learning and segmenting share one pass over the texts."""
+    texts, read = ["One is here. Two is there.", "Fees of Abcd. Xen rose by 3.\n\nIt fell."] * 20, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3).mapInPandas(counted, "doc_id LONG, text STRING")
+    want = S.frozen(S.fit(texts))
+    got = S.sentences(df).collect()
+    assert read.value == len(texts)
+    assert sorted(map(tuple, got)) == sorted((i, *u) for i, t in enumerate(texts) for u in S.units(t, want))
